@@ -135,11 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> tuple[np.nd
     return train(labelled_sample(docs, labels, "quality", per_class))
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean"
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """Counts, base verdict, calibrated quality (null without a model) and verdict of every document."""
+    """Counts, base verdict, calibrated quality score (null without a model) and verdict of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model and (model[0].astype(np.float32), model[1]))  # 512 KB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
