@@ -73,7 +73,7 @@ def bucket_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // BUCKETS, key % BUCKETS
 
 
-def train(sample: DataFrame, prior: float, keep: int = 512, l2: float = 2e-3, counterfactual: float = 4.0, groups=IDENTITY_GROUPS, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+def train(sample: DataFrame, prior: float, keep: int = 512, l2: float = 1e-4, counterfactual: float = 4.0, groups=IDENTITY_GROUPS, steps: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
     """(selected buckets, weights, bias) from (doc_id, label, text) rows; prior is the share of label 1 among all labelled rows."""
     swap = swap_terms(groups)
 
