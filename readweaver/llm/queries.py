@@ -1,11 +1,13 @@
 """Registry of the queries of this subpackage: name -> function of (spark, sf_dir), and their DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
+from . import urls
 from .bpe import op7_byte_bpe
 from .media import op2_media_columns
 from .packing import op10_packing
 from .quality import op6_quality_rules
+from .secrets import op3_secret_scans
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op4_toxicity, op6_quality_rules, op7_byte_bpe, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (urls.op1_url_filters, op2_media_columns, op3_secret_scans, op4_toxicity, op6_quality_rules, op7_byte_bpe, op10_packing)}
+ORACLES = {"op1_url_filters": urls.ORACLE_SQL}
