@@ -200,9 +200,8 @@ def _distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1), body).alias("h2"), body.alias("text"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
-    """(doc_id, class_id) of every row: near-duplicate classes by edit similarity over words."""
-    rows = _distinct_texts(docs, doc_id, text)
+def _labelled(rows: DataFrame, similarity: float, sketches: int, ell: int) -> DataFrame:
+    """(h1, h2, did, root) of every different text: its smallest doc_id and its class's smallest text key."""
     key = ["h1", "h2"]
     # a text is known by the number h1; texts with the same h1 and another h2 are told apart by it
     owner = durable(rows.groupBy(*key).agg(F.min("did").alias("did")))
@@ -251,10 +250,25 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     rest = durable(rest.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b"))
     if rest.limit(1).count():
         label = components(linked.unionByName(aligned(rest)))
-    smallest = owner.withColumn("node", node).join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    class_id = smallest.groupBy("root").agg(F.min("did").alias("class_id")).join(smallest.select("root", "h1", "h2"), "root").select("h1", "h2", "class_id")
+    return owner.withColumn("node", node).join(label, "node", "left").select(*key, "did", F.coalesce("root", "node").alias("root"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
+    """(doc_id, class_id) of every row: near-duplicate classes by edit similarity over words."""
+    rows = _distinct_texts(docs, doc_id, text)
+    found = durable(_labelled(rows, similarity, sketches, ell))
+    class_id = found.groupBy("root").agg(F.min("did").alias("class_id")).join(found.select("root", "h1", "h2"), "root").select("h1", "h2", "class_id")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return rows.select("did", "h1", "h2").join(class_id, key).select(real("did").alias("doc_id"), real("class_id").alias("class_id"))
+    return rows.select("did", "h1", "h2").join(class_id, ["h1", "h2"]).select(real("did").alias("doc_id"), real("class_id").alias("class_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
+    """One whole row of docs for each class: that of the smallest doc_id (then text key); of repeated rows any one."""
+    found = _labelled(_distinct_texts(docs, doc_id, text), similarity, sketches, ell)
+    chosen = found.groupBy("root").agg(F.min(F.struct("did", "h1", "h2")).alias("first")).select("first.*")
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1), body).alias("h2"))
+    return whole.join(chosen, ["did", "h1", "h2"], "left_semi").dropDuplicates(["did", "h1", "h2"]).select("row.*")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,5 +208,29 @@ def _kept(length: int, keep_text: bool):
     return run
 
 
+def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """The rows of docs, with all their columns, with the repeated words taken out of the text.
+
+    A text that loses no word stays as it is; rows that lose all their words go.
+    """
+    spans = repeated(keyed(docs, doc_id, text), length, **options).groupBy("did", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
+    key = [F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("th")]
+    joined = docs.select(F.struct(*docs.columns).alias("row"), docs[text].cast("string").alias("text"), *key).join(spans, ["did", "th"], "left")
+    work = _kept(length, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for done in work([pa.RecordBatch.from_arrays([batch.column(c) for c in ("did", "text", "starts", "sizes")], ["did", "text", "starts", "sizes"])]):
+                n, gone = done.column("n_words").to_numpy(), done.column("n_removed").to_numpy()
+                own = pa.array((gone == 0) | (gone < n))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(n)).filter(own), done.column("kept").filter(own), pa.array(gone > 0).filter(own)], ["row", "kept", "changed"])
+                at += len(n)
+
+    kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
+    out = joined.select("did", "text", "starts", "sizes", "row").mapInArrow(run, f"row {kind}, kept string, changed boolean")
+    return out.select(*(F.when(F.col("changed"), F.col("kept")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))

@@ -135,8 +135,8 @@ def _joined(column: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], extra: str = "") -> DataFrame:
-    """(doc_id, score[, text]) of every document; extra="text" carries the text along."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """(doc_id, score) of every document."""
     chosen, weights, bias = model
     table_ = np.zeros(BUCKETS, np.float32)
     table_[chosen] = weights
@@ -148,10 +148,27 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], extra: s
             for a, b, data, offs in slices(batch.column(1)):
                 r, k = bucket_sets(data, offs)
                 z = np.bincount(r, weights=w[k], minlength=b - a) + bias
-                cols = [batch.column(0).slice(a, b - a), pa.array(sigmoid(z))]
-                yield pa.RecordBatch.from_arrays(cols + [batch.column(1).slice(a, b - a)] * bool(extra), ["doc_id", "score"] + ["text"] * bool(extra))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sigmoid(z))], ["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double" + ", text string" * bool(extra))
+    return texts(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    chosen, weights, bias = model
+    table_ = np.zeros(BUCKETS, np.float32)
+    table_[chosen] = weights
+    shared = docs.sparkSession.sparkContext.broadcast(table_)  # 4 MB whatever the input
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in slices(batch.column(at)):
+                r, k = bucket_sets(data, offs)
+                z = np.bincount(r, weights=shared.value[k], minlength=b - a) + bias
+                yield batch.slice(a, b - a).filter(pa.array(sigmoid(z) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, **options) -> tuple[np.ndarray, np.ndarray, float]:
