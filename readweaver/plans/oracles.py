@@ -194,7 +194,7 @@ ORACLES = {
     "mem_islands": sql(mems(), f"SELECT {big('read_idx', 'direction', 'n', 'chr_idx', 'read_start', 'length', 'pos')} FROM mem"),
     "mmp_per_position": sql(MMP, f"SELECT {big('read_idx', 'direction', 's', 'length', 'rep')} FROM mmp"),
     "seed_chain": sql(
-        [*MMP, "st AS (SELECT read_idx, direction, n, unnest(list_transform(range(0, 1 + n // 50), x -> x * (n // (1 + n // 50)))) AS s FROM o)",
+        [*MMP, "st AS (SELECT read_idx, direction, n, x * (n // (1 + n // 50)) AS s FROM o, unnest(range(0, 1 + n // 50)) AS u(x))",
          "reach AS (SELECT read_idx, direction, n, s FROM st WHERE n - s >= 6 UNION SELECT reach.read_idx, reach.direction, reach.n, reach.s + greatest(mmp.length, 1) FROM reach JOIN mmp USING (read_idx, direction, s) WHERE reach.n - reach.s - greatest(mmp.length, 1) >= 6)",
          "fw AS (SELECT read_idx, min(direction) AS fw FROM mmp WHERE s = 0 AND length = n GROUP BY read_idx)",
          "ch AS (SELECT DISTINCT reach.read_idx, reach.direction, reach.s, length, rep FROM reach JOIN mmp USING (read_idx, direction, s) LEFT JOIN fw ON fw.read_idx = reach.read_idx WHERE length > 0 AND (fw IS NULL OR (fw = reach.direction AND s = 0)))"],
