@@ -8,7 +8,7 @@ from ..functions import scalar as fn
 #: Chromosomes a bucket of the two-level running sum.
 BUCKET = 4096
 #: Bases a chunk: substrings are taken from short strings, never from whole chromosomes.
-CHUNK = 1024
+CHUNK = 256
 
 
 def running_before(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:
@@ -69,4 +69,7 @@ def kmers(df: DataFrame, seq: str, k: int, *keep: str, whole: bool = True) -> Da
     n = F.length("chunk")
     last = F.least(F.lit(CHUNK), n - (k - 1 if whole else 0)) - 1
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return pieces.select(*keep, F.inline(F.transform(places, lambda p: F.struct((F.col("chunk_start") + p).alias("pos"), F.substr(F.col("chunk"), p + 1, F.lit(k)).alias("kmer")))))
+    # explode and substring are generated code; a function over the array of places would be interpreted
+    return pieces.select(*keep, "chunk_start", "chunk", F.explode(places).alias("__p")).select(
+        *keep, (F.col("chunk_start") + F.col("__p")).alias("pos"), F.substr("chunk", F.col("__p") + 1, F.lit(k)).alias("kmer")
+    )
