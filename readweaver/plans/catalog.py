@@ -6,6 +6,8 @@ Every query runs over its whole tables.
 """
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import AlignConfig, GenomeConfig, WindowConfig
@@ -15,6 +17,8 @@ from . import align as al
 
 K = 20
 SHORT_K = 14
+#: Short seeds, so that windows have several.
+PAIR_K = 12
 #: Windows on documents: 64-base bins, so that documents have many.
 WINDOWS = WindowConfig(bin_bits=6, max_seeds=8)
 CONFIG = AlignConfig(genome=GenomeConfig(kmer_size=K), windows=WINDOWS)
@@ -193,8 +197,8 @@ def seed_anchor_flag(spark, d):
 
 # -- windows -------------------------------------------------------------------------------------------------------------------
 
-def _seeds(spark, d):
-    return al.placed_seeds(genome(spark, d), reads(spark, d), CONFIG)
+def _seeds(spark, d, k=K):
+    return al.placed_seeds(genome(spark, d), reads(spark, d), replace(CONFIG, genome=GenomeConfig(kmer_size=k)))
 
 
 def window_sessions(spark, d):
@@ -210,18 +214,18 @@ def event_sessions(spark, d):
     return _longs(s.groupBy("user_id", "session").agg(F.min("bin").alias("start_bin"), F.max("bin").alias("end_bin"), F.sum("n").alias("n")))
 
 
-def _windows(spark, d):
+def _windows(spark, d, k=K):
     g = genome(spark, d)
     last = g.select("chr_idx", fn.bin_of(F.greatest(F.length("seq") - 1, F.lit(0)), WINDOWS.bin_bits).alias("last_bin"))
-    return wn.flank(wn.window_sessions(_seeds(spark, d), WINDOWS), last, WINDOWS)
+    return wn.flank(wn.window_sessions(_seeds(spark, d, k), WINDOWS), last, WINDOWS)
 
 
 def window_flank(spark, d):
     return _longs(_windows(spark, d))
 
 
-def _assigned(spark, d):
-    return wn.assign(_seeds(spark, d), _windows(spark, d), WINDOWS)
+def _assigned(spark, d, k=K):
+    return wn.assign(_seeds(spark, d, k), _windows(spark, d, k), WINDOWS)
 
 
 def seed_to_window(spark, d):
@@ -237,8 +241,8 @@ def seed_subsume(spark, d):
     return _longs(kept.select(*wn.GROUP, "window_id", "read_start", "length", "pos"))
 
 
-def _kept(spark, d):
-    return wn.top_seeds(wn.subsume(_assigned(spark, d)), WINDOWS)
+def _kept(spark, d, k=K):
+    return wn.top_seeds(wn.subsume(_assigned(spark, d, k)), WINDOWS)
 
 
 def window_topk(spark, d):
@@ -246,11 +250,11 @@ def window_topk(spark, d):
 
 
 def window_pairs(spark, d):
-    return _longs(wn.pairs(_kept(spark, d)))
+    return _longs(wn.pairs(_kept(spark, d, PAIR_K)))
 
 
 def gap_classify(spark, d):
-    return _longs(wn.classify(wn.pairs(_kept(spark, d))))
+    return _longs(wn.classify(wn.pairs(_kept(spark, d, PAIR_K))))
 
 
 def same_gap_score(spark, d):

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from ..functions.scalar import ALPHABET, LETTER_BASES, MOTIFS, NO_MOTIF
-from .catalog import K, SHORT_K
+from .catalog import K, PAIR_K, SHORT_K
 
 
 def dna(c: str, gap: str = "") -> str:
@@ -97,7 +97,7 @@ TOP = [
 ]
 SEEDED = [*mems(), *SEEDS, *sessions(), FLANK, *assigned()]
 KEPT = [*SEEDED, *SUBSUME, *TOP]
-PAIRS = [*KEPT, f"pairs AS (SELECT {', '.join('a.' + c.strip() for c in W.split(','))}, a.ordinal AS i, b.ordinal AS j, a.read_start AS a_read, a.pos AS a_pos, a.length AS a_length, b.read_start AS b_read, b.pos AS b_pos, b.length AS b_length FROM kept a JOIN kept b USING ({W}) WHERE a.ordinal < b.ordinal)"]
+PAIRS = [*mems(PAIR_K), *SEEDS, *sessions(), FLANK, *assigned(), *SUBSUME, *TOP, f"pairs AS (SELECT {', '.join('a.' + c.strip() for c in W.split(','))}, a.ordinal AS i, b.ordinal AS j, a.read_start AS a_read, a.pos AS a_pos, a.length AS a_length, b.read_start AS b_read, b.pos AS b_pos, b.length AS b_length FROM kept a JOIN kept b USING ({W}) WHERE a.ordinal < b.ordinal)"]
 
 CLIPPED = "(CASE WHEN read_start > 0 THEN read_start || 'S' ELSE '' END) || matched || 'M' || (CASE WHEN read_length - read_start - matched > 0 THEN (read_length - read_start - matched) || 'S' ELSE '' END)"
 SELECTED = [
