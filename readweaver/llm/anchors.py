@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import gram_hashes, row_of, slices, splitmix, word_hashes, words
 
-#: Occurrences from which a minimiser's windows are routed one by one.
-HOT = 4000
+#: Occurrences from which a minimiser's windows are routed one by one.  It bounds a shard's memory: 2**15 segments of at most 34 words (windows of 20
+#: words, grams of 6) are 1.1 million words, for which an index takes some 130 MB while it is built.
+HOT = 1 << 15
 #: Bytes of a word's symbol in a segment.
 SYMBOL = 5
 #: Bounds of the bit filter, as powers of two: 8 KB and 64 MB.
