@@ -42,20 +42,27 @@ def generate(spark: SparkSession, args: argparse.Namespace, config: AlignConfig)
     genome = fasta.read_genome(spark, args.genomeFile)
     chrs = gn.chromosomes(genome, config.genome.bin_size)
     tables = {"genome": genome, "chromosome": chrs, "kmer": ix.kmer_index(genome, config.genome.kmer_size)}
+    loci = None
     if args.gtfFile:
         exons, rejected = jn.exons_on(gtf.read_exons(spark, args.gtfFile, config.annotation), chrs)
         renamed = exons.withColumnsRenamed({"transcript_id": "transcript", "gene_id": "gene"})
         tables |= {"junction": jn.collapse(jn.introns(renamed)), "transcript": jn.encode(renamed, "transcript", "line_no", "strand"), "gene": jn.encode(renamed, "gene", "line_no", "gene_name", "gene_type"), "exon_rejected": rejected}
+        loci = gn.chromosome_of(tables["junction"], chrs, config.genome.bin_size, "sj_start").select("chr_idx", F.col("offset").alias("start"), (F.col("sj_end") - F.col("sj_start") + F.col("offset")).alias("end"), "strand", "priority", "genes")
     sinks.write_index(args.genomeDir, **tables)
+    # without annotation the table of junctions is empty, so that an index holds no other's
+    nothing = spark.createDataFrame([], f"chr_idx {dict(genome.dtypes)['chr_idx']}, start long, end long, strand int, priority int, genes array<string>")
+    sinks.write_index(args.genomeDir, sjdb=jn.database(nothing if loci is None else loci, genome, config.annotation.overhang))
+    sjdb = sinks.load_index(spark, args.genomeDir, "sjdb")["sjdb"]
+    sinks.write_index(args.genomeDir, sjdb_kmer=ix.kmer_index(sjdb.select(F.col("sj_idx").alias("chr_idx"), F.col("sj_seq").alias("seq")), config.genome.kmer_size))
     sinks.write_chromosomes(chrs, f"{args.genomeDir}/text")
 
 
 def align(spark: SparkSession, args: argparse.Namespace, config: AlignConfig) -> None:
     """SAM records and the final report."""
-    tables = sinks.load_index(spark, args.genomeDir, "genome", "chromosome")
+    tables = sinks.load_index(spark, args.genomeDir, "genome", "chromosome", "sjdb")
     reads = fastq.read_paired(spark, args.readFile, args.readFile2) if args.readFile2 else fastq.read_single(spark, args.readFile)
     plain = reads.select("read_idx", F.col("seq_fwd").alias("seq"))
-    seeds = al.placed_seeds(tables["genome"], plain, config)
+    seeds = al.placed_seeds(tables["genome"], plain, config, tables["sjdb"])
     _, kept = al.seeded_windows(tables["genome"], seeds, config)
     found = sl.select_alignments(al.stitched(tables["genome"], plain, kept, config), config.filters)
     found.write.mode("overwrite").parquet(f"{args.outPutDir}/alignment")

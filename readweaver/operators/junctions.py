@@ -4,6 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as fn
+from . import genome as gn
+from .stitch import slices
+
+#: Bases kept on each side of a junction's ends; repeats and flanks are found in them.
+CONTEXT = 256
 
 
 def exons_on(exons: DataFrame, chrs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,15 +59,15 @@ def repeat_shift(junctions: DataFrame, seq: str, start: str, end: str, most: int
     return junctions.withColumn("shift_left", fn.common_prefix(plain(back(s)), plain(back(e + 1))).cast("long")).withColumn("shift_right", fn.common_prefix(plain(head(s)), plain(head(e + 1))).cast("long"))
 
 
-def dedup_shifted(junctions: DataFrame) -> DataFrame:
-    """One junction for each (strand, start, end moved left): higher priority, then canonical, then smaller shift, then order."""
-    key = ["strand", F.col("start") - F.col("shift_left"), F.col("end") - F.col("shift_left")]
+def dedup_shifted(junctions: DataFrame, *on: str) -> DataFrame:
+    """One junction for each (on, strand, start, end moved left): higher priority, then canonical, then smaller shift, then order."""
+    key = [*on, "strand", F.col("start") - F.col("shift_left"), F.col("end") - F.col("shift_left")]
     order = Window.partitionBy(*key).orderBy(F.desc("priority"), F.desc(F.col("motif") > 0), "shift_left", "ordinal")
     return junctions.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def dedup_strands(junctions: DataFrame) -> DataFrame:
-    """One junction for each (start, end) over the strands, by a fold in order.
+def dedup_strands(junctions: DataFrame, *on: str) -> DataFrame:
+    """One junction for each (on, start, end) over the strands, by a fold in order.
 
     The better of two: the one with a strand over one without; higher priority;
     canonical over not; the one whose strand is its motif's; else the first.
@@ -73,7 +78,7 @@ def dedup_strands(junctions: DataFrame) -> DataFrame:
         return F.when(rank(b) > rank(a), b).otherwise(a)
 
     row = F.struct("ordinal", *[c for c in junctions.columns if c != "ordinal"])
-    grouped = junctions.groupBy("start", "end").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    grouped = junctions.groupBy(*on, "start", "end").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return grouped.select(F.aggregate("rows", F.col("rows")[0], better).alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in junctions.columns))
 
 
@@ -101,3 +106,58 @@ def split_on_junction(hits: DataFrame, junctions: DataFrame, genome_length: int,
     acceptor = F.struct((F.col("__e") + 1).alias("pos"), (F.col("length") - left).alias("length"), (F.col("read_start") + left).alias("read_start"), F.lit(1).alias("part"))
     rest = [c for c in hits.columns if c not in ("pos", "length", "read_start")]
     return rows.select(*rest, "sj_idx", F.explode(F.array(donor, acceptor)).alias("x")).select(*rest, "sj_idx", "x.part", "x.pos", "x.length", "x.read_start")
+
+
+def contexts(junctions: DataFrame, genome: DataFrame, margin: int = CONTEXT, size: int = 1 << 14) -> DataFrame:
+    """junctions (chr_idx, start, end, 0-based, unique) with seq, at_start and at_end: the bases around both ends, '#' between them.
+
+    seq and the places of the first and last intron base in it stand for the chromosome in `repeat_shift` and `flank_sequences`, as
+    neither looks further than margin; a chromosome is cut into pieces, so no row holds it and a junction.
+    """
+    ends = F.inline(F.array(F.struct(F.lit(0).alias("direction"), F.col("start").alias("at")), F.struct(F.lit(1).alias("direction"), (F.col("end") + 1).alias("at"))))
+    rows = junctions.select("chr_idx", F.col("start").alias("read_idx"), F.col("end").alias("window_id"), ends).select("read_idx", "direction", "chr_idx", "window_id", F.col("at").alias("start"), F.col("at").alias("end"))
+    cut = slices(rows, gn.chunks(genome, "seq", 0, "chr_idx", size=size), margin, size)
+    side = lambda k, c: F.max(F.when(F.col("direction") == k, F.col(c)))
+    around = cut.withColumn("off", F.col("start") - F.col("slice_start")).groupBy("chr_idx", F.col("read_idx").alias("start"), F.col("window_id").alias("end")).agg(
+        side(0, "slice").alias("left"), side(0, "off").alias("at_start"), side(1, "slice").alias("right"), side(1, "off").alias("right_off")
+    )
+    # an intron's end at the chromosome's end may have no piece behind it
+    around = around.where("left is not null and right is not null")
+    around = around.select("chr_idx", "start", "end", F.concat("left", F.lit("#"), "right").alias("seq"), "at_start", (F.length("left") + F.col("right_off")).alias("at_end"))
+    return junctions.join(around, ["chr_idx", "start", "end"])
+
+
+def database(loci: DataFrame, genome: DataFrame, overhang: int = 100) -> DataFrame:
+    """The junctions to search: (sj_idx, chr_idx, start, end, strand, motif, shift_left, shift_right, genes, donor, sj_seq).
+
+    loci: chr_idx, start, end (0-based first and last intron base), strand, priority, genes; they get motif and repeat shifts, equal
+    ones are resolved within a strand and over the strands, and the flanks on both sides are joined, donor bases long the first.
+    sj_idx is a 64-bit hash of the chromosome and the place, so it needs no numbering of all rows in one task.
+    """
+    unstranded = contexts(loci.select("chr_idx", "start", "end").distinct(), genome, max(CONTEXT, overhang))
+    shifted = repeat_shift(unstranded, "seq", "at_start", "at_end")
+    shifted = shifted.withColumn("motif", fn.splice_motif(F.substr("seq", (F.col("at_start") + 1).cast("int"), F.lit(2)), F.substr("seq", F.col("at_end").cast("int"), F.lit(2))))
+    flanked = flank_sequences(shifted.select(F.struct("chr_idx", "start", "end").alias("sj_idx"), "seq", F.col("at_start").alias("start"), F.col("at_end").alias("end")), "seq", overhang, 0)
+    known = shifted.join(flanked.select("sj_idx.*", "sj_seq"), ["chr_idx", "start", "end"]).withColumn("donor", F.least("at_start", F.lit(overhang)).cast("int")).drop("seq", "at_start", "at_end")
+    rows = loci.join(known, ["chr_idx", "start", "end"]).withColumn("ordinal", F.col("strand").cast("long"))
+    once = dedup_strands(dedup_shifted(rows, "chr_idx"), "chr_idx")
+    return once.select(F.xxhash64("chr_idx", "start", "end").alias("sj_idx"), "chr_idx", "start", "end", "strand", "motif", "shift_left", "shift_right", "genes", "donor", "sj_seq")
+
+
+def crossing(matches: DataFrame, junctions: DataFrame) -> DataFrame:
+    """Matches on junction sequences (chr_idx is the sj_idx) that lie on both sides, with the junction's donor, place, motif and shifts."""
+    sj = junctions.select(F.col("sj_idx").alias("chr_idx"), F.col("chr_idx").alias("on_chr"), F.col("start").alias("sj_start"), F.col("end").alias("sj_end"), "donor", "motif", "shift_left", "shift_right")
+    return matches.join(sj, "chr_idx").where("pos < donor and pos + length > donor").withColumnsRenamed({"chr_idx": "sj", "on_chr": "chr_idx"})
+
+
+def parts(rows: DataFrame) -> DataFrame:
+    """Crossing matches as their donor and acceptor parts on the chromosome, with sj and repeat.
+
+    repeat is the shift on the part's side if the junction has no motif, else -1: a part no longer than it can't tell where the junction is.
+    """
+    before = F.col("donor") - F.col("pos")
+    told = lambda c: F.when(F.col("motif") == 0, F.col(c)).otherwise(-1).cast("long").alias("repeat")
+    donor = F.struct((F.col("sj_start") - before).cast("long").alias("pos"), before.cast("long").alias("length"), F.col("read_start").cast("long").alias("read_start"), told("shift_left"))
+    acceptor = F.struct((F.col("sj_end") + 1).cast("long").alias("pos"), (F.col("length") - before).cast("long").alias("length"), (F.col("read_start") + before).cast("long").alias("read_start"), told("shift_right"))
+    rest = [c for c in rows.columns if c not in ("pos", "length", "read_start", "sj_start", "sj_end", "donor", "motif", "shift_left", "shift_right")]
+    return rows.select(*rest, F.inline(F.array(donor, acceptor)))
