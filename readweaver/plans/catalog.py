@@ -442,6 +442,27 @@ def junction_split(spark, d):
     return _longs(jn.split_on_junction(hits, sj, 1000, 30, 5))
 
 
+def _database(spark, d):
+    """Made-up junctions on documents, resolved, with flanks of 30 bases."""
+    loci = _introns(spark, d).select("chr_idx", F.col("s").cast("long").alias("start"), F.col("e").cast("long").alias("end"), (F.col("chr_idx") % 3).cast("int").alias("strand"), (F.lit(10) * (1 + F.col("j") % 2)).alias("priority"), F.array(F.col("chr_idx").cast("string")).alias("genes"))
+    return jn.database(loci, genome(spark, d), 30)
+
+
+def junction_database(spark, d):
+    return _longs(_database(spark, d).select("chr_idx", "start", "end", "strand", "motif", "shift_left", "shift_right", "donor", "sj_seq"))
+
+
+def annotated_parts(spark, d):
+    """Donor and acceptor parts of spliced reads, 15 and 25 bases of each document's first intron-like place; a part may lie on several documents."""
+    sjdb = _database(spark, d)
+    spliced = _introns(spark, d).where("j = 0").select(F.col("chr_idx").alias("read_idx"), F.concat(F.expr("substr(seq, greatest(s - 15, 0) + 1, least(s, 15))"), F.expr("substr(seq, e + 2, 25)")).alias("seq"))
+    found = sd.mem_islands(sd.seed_hits(sjdb.select(F.col("sj_idx").alias("chr_idx"), F.col("sj_seq").alias("seq")), spliced, K), K)
+    rows = jn.parts(jn.crossing(found, sjdb))
+    return rows.groupBy("read_idx", "direction", "read_start", "length", "repeat").agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("pos").cast("long")).alias("pos_sum"), F.min("chr_idx").alias("first_chr")).select(
+        *(F.col(c).cast("long").alias(c) for c in ("read_idx", "direction", "read_start", "length", "repeat", "places", "pos_sum", "first_chr"))
+    )
+
+
 def dictionary_encode(spark, d):
     o = _t(spark, d, "orders")
     return _longs(jn.encode(o, "o_orderpriority", "o_orderkey", "o_orderstatus", "o_custkey"))
@@ -454,6 +475,6 @@ QUERIES = {
         kmer_prefix_presence, kmer_sample_points, kmer_ffill_bounds, suffix_rank, lcp, suffix_merge, seed_hits, short_tail_prefix_range, mem_islands, mmp_per_position, seed_chain, best_mem, seed_anchor_flag,
         window_sessions, event_sessions, window_flank, seed_to_window, seed_subsume, window_topk, window_pairs, gap_classify, same_gap_score, extend_prefix_max, score_upper_bound, splice_motif, junction_shift,
         length_penalty, multimap_select, mapq_flag, sam_record, align_report, read_status, stitch_dp, mate_zip, paired_stitch, exon_introns, transcript_bounds, junction_collapse, exon_chr_semi, exon_chr_anti,
-        junction_dedup1, junction_dedup2, junction_flanks, junction_split, dictionary_encode,
+        junction_dedup1, junction_dedup2, junction_flanks, junction_split, junction_database, annotated_parts, dictionary_encode,
     )
 }

@@ -128,6 +128,21 @@ INTRONS = [
 ]
 ANNOTATED = [*INTRONS, f"ann AS (SELECT s AS start, e AS \"end\", chr_idx % 3 AS strand, {motif('substr(seq, s + 1, 2) || substr(seq, e, 2)', 0)} AS motif, 10 * (1 + j % 2) AS priority, shift_left, shift_right, chr_idx * 5 + j AS ordinal FROM sh)"]
 DEDUP1 = [*ANNOTATED, "dd AS (SELECT * FROM ann QUALIFY row_number() OVER (PARTITION BY strand, start - shift_left, \"end\" - shift_left ORDER BY priority DESC, motif > 0 DESC, shift_left, ordinal) = 1)"]
+DATABASE = [
+    *ANNOTATED[:-1], ANNOTATED[-1].replace("ann AS (SELECT ", "ann AS (SELECT chr_idx, seq, "),
+    "d1 AS (SELECT * FROM ann QUALIFY row_number() OVER (PARTITION BY chr_idx, strand, start - shift_left, \"end\" - shift_left ORDER BY priority DESC, motif > 0 DESC, shift_left, start) = 1)",
+    "db AS (SELECT chr_idx, start, \"end\", strand, motif, shift_left, shift_right, least(start, 30) AS donor, substr(seq, greatest(start - 30, 0) + 1, least(start, 30)) || substr(seq, \"end\" + 2, 30) AS sj_seq FROM d1 QUALIFY row_number() OVER (PARTITION BY chr_idx, start, \"end\" ORDER BY strand > 0 DESC, priority DESC) = 1)",
+]
+PARTS = [
+    *DATABASE, "r AS (SELECT chr_idx AS read_idx, substr(seq, greatest(s - 15, 0) + 1, least(s, 15)) || substr(seq, e + 2, 25) AS seq FROM i WHERE j = 0)", O,
+    f"rk AS (SELECT read_idx, direction, n, s, substr(seq, s + 1, {K}) AS kmer FROM o, unnest(range(0, n - {K} + 1)) AS u(s))",
+    f"jk AS (SELECT db.*, p, substr(sj_seq, p + 1, {K}) AS kmer FROM db, unnest(range(0, length(sj_seq) - {K} + 1)) AS u(p))",
+    "rare AS (SELECT kmer FROM jk GROUP BY kmer HAVING count(*) <= 10000)",
+    "jh AS (SELECT *, s - row_number() OVER (PARTITION BY read_idx, direction, chr_idx, start, \"end\", p - s ORDER BY s) AS island FROM rk JOIN jk USING (kmer) SEMI JOIN rare USING (kmer))",
+    f"jm AS (SELECT read_idx, direction, chr_idx, start, \"end\", motif, shift_left, shift_right, donor, min(s) AS read_start, max(s) - min(s) + {K} AS length, min(p) AS pos FROM jh GROUP BY read_idx, direction, chr_idx, start, \"end\", motif, shift_left, shift_right, donor, p - s, island)",
+    "jx AS (SELECT *, donor - pos AS before FROM jm WHERE pos < donor AND pos + length > donor)",
+    "jp AS (SELECT read_idx, direction, chr_idx, read_start, before AS length, start - before AS pos, CASE WHEN motif = 0 THEN shift_left ELSE -1 END AS repeat FROM jx UNION ALL SELECT read_idx, direction, chr_idx, read_start + before, length - before, \"end\" + 1, CASE WHEN motif = 0 THEN shift_right ELSE -1 END FROM jx)",
+]
 
 EXONS = [
     "l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS size, l_returnflag AS flag FROM lineitem)",
@@ -240,5 +255,7 @@ ORACLES = {
         [*INTRONS[:2], "h AS (SELECT l_orderkey * 10 + l_linenumber AS hit, (l_orderkey * 37 + l_linenumber * 11) % 200000 AS place, l_quantity::BIGINT AS len, l_suppkey % 30 AS rs FROM lineitem)",
          "x AS (SELECT hit, place // 65 AS sj_idx, place % 65 AS off, len, rs FROM h WHERE place % 65 < 30 AND place % 65 + len > 30 AND place % 65 + len <= 60)", "y AS (SELECT hit, x.sj_idx, off, len, rs, s, e FROM x JOIN i ON i.chr_idx * 5 + i.j = x.sj_idx)"],
         "SELECT hit::BIGINT AS hit, sj_idx::BIGINT AS sj_idx, 0::BIGINT AS part, (s - (30 - off))::BIGINT AS pos, (30 - off)::BIGINT AS length, rs::BIGINT AS read_start FROM y UNION ALL SELECT hit, sj_idx, 1, e + 1, len - (30 - off), rs + 30 - off FROM y"),
+    "junction_database": sql(DATABASE, f"SELECT {big('chr_idx', 'start')}, \"end\"::BIGINT AS \"end\", {big('strand', 'motif', 'shift_left', 'shift_right', 'donor')}, sj_seq FROM db"),
+    "annotated_parts": sql(PARTS, f"SELECT {big('read_idx', 'direction', 'read_start', 'length', 'repeat')}, count(*)::BIGINT AS places, sum(pos)::BIGINT AS pos_sum, min(chr_idx)::BIGINT AS first_chr FROM jp GROUP BY 1, 2, 3, 4, 5"),
     "dictionary_encode": sql(["f AS (SELECT o_orderpriority, min(o_orderkey) AS first_key, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_custkey, o_orderkey) AS o_custkey FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1)"], "SELECT o_orderpriority, o_orderstatus, o_custkey, (row_number() OVER (ORDER BY first_key, o_orderpriority) - 1)::BIGINT AS code FROM f"),
 }
