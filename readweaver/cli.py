@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession, functions as F
@@ -46,7 +47,7 @@ def generate(spark: SparkSession, args: argparse.Namespace, config: AlignConfig)
     if args.gtfFile:
         exons, rejected = jn.exons_on(gtf.read_exons(spark, args.gtfFile, config.annotation), chrs)
         renamed = exons.withColumnsRenamed({"transcript_id": "transcript", "gene_id": "gene"})
-        tables |= {"junction": jn.collapse(jn.introns(renamed)), "transcript": jn.encode(renamed, "transcript", "line_no", "strand"), "gene": jn.encode(renamed, "gene", "line_no", "gene_name", "gene_type"), "exon_rejected": rejected}
+        tables |= {"junction": jn.collapse(jn.introns(renamed)), "transcript": jn.encode(renamed, "transcript", "line_no", "strand"), "gene": jn.encode(renamed, "gene", "line_no", "gene_name", "gene_type"), "exon_rejected": rejected, "exon_warning": exons.where("warning is not null")}
         loci = gn.chromosome_of(tables["junction"], chrs, config.genome.bin_size, "sj_start").select("chr_idx", F.col("offset").alias("start"), (F.col("sj_end") - F.col("sj_start") + F.col("offset")).alias("end"), "strand", "priority", "genes")
     sinks.write_index(args.genomeDir, **tables)
     # without annotation the table of junctions is empty, so that an index holds no other's
@@ -58,11 +59,15 @@ def generate(spark: SparkSession, args: argparse.Namespace, config: AlignConfig)
 
 
 def align(spark: SparkSession, args: argparse.Namespace, config: AlignConfig) -> None:
-    """SAM records and the final report."""
+    """SAM records, the final report and that of the progress."""
+    began = time.time()
     tables = sinks.load_index(spark, args.genomeDir, "genome", "chromosome", "sjdb")
     reads = fastq.read_paired(spark, args.readFile, args.readFile2) if args.readFile2 else fastq.read_single(spark, args.readFile)
     plain = reads.select("read_idx", F.col("seq_fwd").alias("seq"))
     seeds = al.placed_seeds(tables["genome"], plain, config, tables["sjdb"])
+    # the alignment and the status of reads without one both need the seeds: they are found once
+    seeds.write.mode("overwrite").parquet(f"{args.outPutDir}/seed")
+    seeds = spark.read.parquet(f"{args.outPutDir}/seed")
     _, kept = al.seeded_windows(tables["genome"], seeds, config)
     found = sl.select_alignments(al.stitched(tables["genome"], plain, kept, config), config.filters)
     found.write.mode("overwrite").parquet(f"{args.outPutDir}/alignment")
@@ -70,6 +75,7 @@ def align(spark: SparkSession, args: argparse.Namespace, config: AlignConfig) ->
     names = tables["chromosome"].select("chr_idx", F.col("name").alias("chr"))
     sinks.write_sam(sam.records(found.where("status = 'SUCCESS'"), reads, names), f"{args.outPutDir}/sam", sinks.sam_header(tables["chromosome"]))
     sinks.write_report(sl.report(sl.read_status(plain, seeds, found)), f"{args.outPutDir}/report")
+    sinks.write_progress(spark, f"{args.outPutDir}/progress", began, time.time(), plain.count())
 
 
 def main(argv: list[str] | None = None) -> None:

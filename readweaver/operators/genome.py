@@ -56,11 +56,17 @@ def two_strands(genome: DataFrame) -> DataFrame:
 
 
 def chunks(df: DataFrame, seq: str, overlap: int, *keep: str, size: int = CHUNK) -> DataFrame:
-    """(keep..., chunk_start, chunk): pieces of `size` bases with `overlap` more, so every window of overlap + 1 bases is whole in the chunk it starts in."""
-    starts = F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """(keep..., chunk_start, chunk): pieces of `size` bases with `overlap` more, so every window of overlap + 1 bases is whole in the chunk it starts in.
+
+    Sequences are of one-byte characters.  The work is in proportion to their length.
+    """
+    n = F.octet_length(seq)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    # bytes are cut in place, where characters would be counted from the sequence's start for every piece; the array of one evaluates the bytes once a row
+    piece = lambda whole, k: F.struct((k.cast("long") * size).alias("chunk_start"), F.substr(whole, k * size + 1, F.lit(size + overlap)).cast("string").alias("chunk"))
+    pieces = F.flatten(F.transform(F.array(F.col(seq).cast("binary")), lambda whole: F.transform(starts, lambda k: piece(whole, k))))
     # the pieces are made within the row, so no row of the result carries the whole sequence
-    piece = F.transform(starts, lambda k: F.struct((k.cast("long") * size).alias("chunk_start"), F.substr(F.col(seq), k * size + 1, F.lit(size + overlap)).alias("chunk")))
-    return df.select(*keep, F.inline(piece))
+    return df.select(*keep, F.inline(pieces))
 
 
 def kmers(df: DataFrame, seq: str, k: int, *keep: str, whole: bool = True) -> DataFrame:

@@ -25,9 +25,15 @@ def exons_on(exons: DataFrame, chrs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def encode(rows: DataFrame, key: str, order: str, *first: str) -> DataFrame:
-    """(key, code, first...): a dictionary in order of first appearance, with the other columns of each key's first row."""
-    seen = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__at"), *(F.min_by(c, order).alias(c) for c in first))
-    return seen.withColumn("code", (F.row_number().over(Window.orderBy("__at", key)) - 1).cast("long")).drop("__at")
+    """(key, first..., code): a dictionary in order of first appearance, with the other columns of each key's first row.
+
+    order is a whole number.  Codes have two levels, keys before a bucket of orders and then keys in it, so no task sees all keys.
+    """
+    seen = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__at"), *(F.min_by(c, order).alias(c) for c in first)).withColumn("__b", F.floor(F.col("__at") / gn.BUCKET))
+    sizes = seen.groupBy("__b").agg(F.count(F.lit(1)).alias("__s"))
+    ahead = sizes.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__b").orderBy("__at", key)) - 1
+    return seen.withColumn("__w", within).join(ahead, "__b").select(key, *first, (F.col("__before") + F.col("__w")).cast("long").alias("code"))
 
 
 def introns(exons: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Index tables, SAM text, chromosome tables and the final report."""
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -37,3 +39,11 @@ def write_report(report: DataFrame, path: str) -> None:
     """The final report as one line for each figure."""
     pairs = F.explode(F.create_map(*(x for c in report.columns for x in (F.lit(c), F.col(c).cast("string")))))
     report.select(pairs.alias("k", "v")).select(F.concat_ws("\t", "k", "v").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_progress(spark: SparkSession, path: str, began: float, ended: float, reads: int) -> None:
+    """Start, elapsed seconds, reads and million reads an hour of a run, from epoch seconds, as one line each."""
+    took = max(ended - began, 1e-9)
+    start = datetime.fromtimestamp(began, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    pairs = [("started", start), ("elapsed", f"{took:.0f}"), ("reads", str(reads)), ("million_reads_per_hour", f"{reads / took * 3600 / 1e6:.1f}")]
+    spark.createDataFrame(pairs, "k string, v string").coalesce(1).select(F.concat_ws("\t", "k", "v").alias("value")).write.mode("overwrite").text(path)
