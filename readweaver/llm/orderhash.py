@@ -12,7 +12,11 @@ first.  Each sketch group is a star around its smallest member (a minimum that
 is combined before the shuffle), so its links grow with its size, not with its
 square.  Every text is aligned with its first candidate and classes are formed;
 then all other star links whose ends are not in one class are aligned and join
-classes, too.  Alignment is a unit-cost dynamic program over words,
+classes, too.  Members of a group that are still in different classes are
+strangers to its centre or to each other.  Those texts are compared exactly: two
+texts that are near share one of the rarest words of each, as many as the edits
+that the threshold allows and one more, so all pairs with such a word, like
+lengths and different classes are aligned.  Alignment is a unit-cost dynamic program over words,
 within the band that a distance of the threshold allows; similarity is
 1 - distance / words of the longer text, and links need 0.8 or more.
 
@@ -42,6 +46,8 @@ SIMILARITY = 0.8
 NULL_ID = (1 << 63) - 1
 #: Cells of the alignment matrix worked on at once.
 CELLS = 1 << 20
+#: Buckets in which words are counted to find the rare ones.
+COUNTED = 1 << 18
 
 
 def labelled(values: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -194,6 +200,55 @@ def components(links: DataFrame) -> DataFrame:
             return root
 
 
+def _words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labelled word hashes, row of each, words of each row) of a slice of texts."""
+    starts, ends, first = words(data, offs)
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    return labelled(word_hashes(data, starts, ends), row), row, n
+
+
+def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all members (t, root, text) of different roots that may be within the similarity.
+
+    An edit spoils one word of the longer text at most, so a text of n words shares all but band(n, n) of its
+    words, repeats counted, with a near one; of the words in one order, rarest first, both have a shared one
+    among their first band + 1.  The order is the count of the word's bucket, then the word's hash.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column(0)):
+                seen += np.bincount((_words_of(data, offs)[0] % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
+
+    counted = members.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTED rows
+    often = np.zeros(COUNTED, np.int64)
+    often[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    frequency = members.sparkSession.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in slices(batch.column(2)):
+                value, row, n = _words_of(data, offs)
+                order = np.lexsort((value, frequency.value[(value % np.uint64(COUNTED)).astype(np.int64)], row))
+                rank = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)  # rows stay in place
+                picked = np.flatnonzero(rank <= np.array([band(k, k, similarity) for k in n.tolist()], np.int64)[row])
+                own = pa.array(row[picked] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(n[row[picked]]), pa.array(value[order[picked]].view(np.int64))], ["t", "root", "n", "word"])
+
+    kind = "struct<h1:long,h2:long>"
+    rare = durable(members.select("t", "root", "text").mapInArrow(rarest, f"t {kind}, root {kind}, n long, word long"))
+    # words of one class only have no pair
+    mixed = rare.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("word")
+    rare = rare.join(mixed, "word", "left_semi")
+    one, two = (rare.select("word", F.col("t").alias(c), F.col("root").alias(f"{c}_root"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
+    like = F.least("a_n", "b_n") + 1e-6 >= similarity * F.greatest("a_n", "b_n")
+    return one.join(two, "word").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & like).select("a", "b").distinct()
+
+
 def _distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(did, h1, h2, text): a 128-bit hash of the text besides it."""
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
@@ -249,7 +304,17 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int, ell: int) -> Da
         rest = rest.join(label.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left")
     rest = durable(rest.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b"))
     if rest.limit(1).count():
-        label = components(linked.unionByName(aligned(rest)))
+        linked = linked.unionByName(aligned(rest))
+        label = components(linked)
+    # groups whose members are in different classes: all of them against each other
+    rooted = pairs.join(label.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
+    split = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
+    strangers = durable(rooted.join(split, "a", "left_semi").select(F.col("b").alias("t"), "root").distinct())
+    if strangers.limit(1).count():
+        members = durable(text_of.join(strangers, "t"))
+        found = aligned(_rare_pairs(members, similarity))
+        if found.limit(1).count():
+            label = components(linked.unionByName(found))
     return owner.withColumn("node", node).join(label, "node", "left").select(*key, "did", F.coalesce("root", "node").alias("root"))
 
 

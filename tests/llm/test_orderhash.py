@@ -119,3 +119,23 @@ def test_large_group_is_one_class_with_links_in_proportion(spark):
         texts.append(" ".join(w))
     got = orderhash.classes(docs(spark, texts))
     assert got.agg(F.countDistinct("class_id")).first()[0] == 1
+
+
+def test_near_texts_whose_group_has_a_stranger_as_centre(spark):
+    rng = random.Random(11)
+    passage = ["p%d" % i for i in range(80)]
+    texts = []
+    for k in range(250):
+        own = ["s%d_%d" % (k, i) for i in range(rng.randint(60, 150))]
+        at = rng.randrange(len(own))
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+    for k in range(60):
+        own = ["q%d_%d" % (k, i) for i in range(30)]
+        a = own[:15] + passage + own[15:]
+        b = list(a)
+        for i in rng.sample([*range(15), *range(95, 110)], 11):
+            b[i] = "n%d_%d" % (k, i)
+        texts += [" ".join(a), " ".join(b)]  # 0.90 alike
+    got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
+    assert all(got[i] == got[i + 1] == i for i in range(250, len(texts), 2))
+    assert all(got[i] == i for i in range(250))
