@@ -16,7 +16,9 @@ classes, too.  Members of a group that are still in different classes are
 strangers to its centre or to each other.  Those texts are compared exactly: two
 texts that are near share one of the rarest words of each, as many as the edits
 that the threshold allows and one more, so all pairs with such a word, like
-lengths and different classes are aligned.  Alignment is a unit-cost dynamic program over words,
+lengths and different classes are aligned.  Texts of 40 words or fewer, whose
+shingles a single edit can spoil, are compared in the same way whatever their
+sketches, with each other and with all they can be near to.  Alignment is a unit-cost dynamic program over words,
 within the band that a distance of the threshold allows; similarity is
 1 - distance / words of the longer text, and links need 0.8 or more.
 
@@ -46,6 +48,8 @@ SIMILARITY = 0.8
 NULL_ID = (1 << 63) - 1
 #: Cells of the alignment matrix worked on at once.
 CELLS = 1 << 20
+#: Texts of so many words or fewer are compared exactly.
+SHORT = 40
 #: Buckets in which words are counted to find the rare ones.
 COUNTED = 1 << 18
 
@@ -292,8 +296,8 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int, ell: int) -> Da
 
     kind = "struct<h1:long,h2:long>"
 
-    def aligned(wanted: DataFrame) -> DataFrame:
-        with_texts = wanted.join(text_of.withColumnsRenamed({"t": "b", "text": "right"}), "b").join(text_of.withColumnsRenamed({"t": "a", "text": "left"}), "a")
+    def aligned(wanted: DataFrame, source: DataFrame = text_of) -> DataFrame:
+        with_texts = wanted.join(source.withColumnsRenamed({"t": "b", "text": "right"}), "b").join(source.withColumnsRenamed({"t": "a", "text": "left"}), "a")
         return durable(with_texts.select("a", "b", "left", "right").mapInArrow(verify, f"a {kind}, b {kind}"))
 
     turn = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -309,12 +313,15 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int, ell: int) -> Da
     # groups whose members are in different classes: all of them against each other
     rooted = pairs.join(label.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
     split = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    strangers = durable(rooted.join(split, "a", "left_semi").select(F.col("b").alias("t"), "root").distinct())
-    if strangers.limit(1).count():
-        members = durable(text_of.join(strangers, "t"))
-        found = aligned(_rare_pairs(members, similarity))
-        if found.limit(1).count():
-            label = components(linked.unionByName(found))
+    strangers = rooted.join(split, "a", "left_semi").select(F.col("b").alias("t"), "root").distinct()
+    # texts of few words and those they can be near to; at most one part before the first word and one after the last
+    most = int(SHORT / similarity + 1e-9) + 2
+    few = rows.where(F.size(F.split("text", r"[\x20\x09-\x0D]+", most + 1)) <= most).select(node.alias("t"), "text")
+    few = few.join(label.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "text")
+    members = durable(text_of.join(strangers, "t").select("t", "root", "text").unionByName(few).dropDuplicates(["t"]))
+    found = aligned(_rare_pairs(members, similarity), members.select("t", "text"))
+    if found.limit(1).count():
+        label = components(linked.unionByName(found))
     return owner.withColumn("node", node).join(label, "node", "left").select(*key, "did", F.coalesce("root", "node").alias("root"))
 
 

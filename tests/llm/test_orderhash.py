@@ -139,3 +139,20 @@ def test_near_texts_whose_group_has_a_stranger_as_centre(spark):
     got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
     assert all(got[i] == got[i + 1] == i for i in range(250, len(texts), 2))
     assert all(got[i] == i for i in range(250))
+
+
+def test_short_texts_against_brute_force(spark):
+    rng = random.Random(17)
+    texts = []
+    for n in [*range(1, 13), *range(5, 13), 15, 20, 24, 30, 35, 40]:
+        base = ["v%d" % rng.randint(0, 400) for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(max(1, n // 5)):
+                k = rng.randrange(len(w) + 1)
+                w[k : k + 1] = rng.choice([["v%d" % rng.randint(0, 400)]] * 2 + [[]])
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
