@@ -10,7 +10,9 @@ are runs of the sorted orders, for every x at once exact.
 
 The report has a row for each maximal stretch of a document whose windows also
 stand in an earlier document, with the earliest document that has its first
-window.  A passage is `length` words or more.
+window; by source, it has a row for each such document and each maximal stretch
+of the windows that stand there first, so stretches of different sources may
+overlap.  A passage is `length` words or more.
 
 Size: a minimiser's segments are bounded (frequent ones go window by window and
 are grouped exactly).  Word symbols are 40-bit hashes.
@@ -93,10 +95,10 @@ def repeated_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarr
 FOUND = "did long, th long, start int, n int, first_did long"
 
 
-def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, m: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, m: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS, by_source: bool = False) -> DataFrame:
     """(doc_id, first_doc_id, start_word, end_word): maximal stretches of a document covered by windows that also stand in an earlier one.
 
-    first_doc_id is the earliest document with the stretch's first window; a text that is in the table more than once under one id counts once.
+    first_doc_id is the earliest document with the stretch's first window or, by source, with all its windows; a text that is in the table more than once under one id counts once.
     """
     source = keyed(docs, doc_id, text)
     routes = Routes(source, length, m, hot)
@@ -113,13 +115,14 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
         found = found.unionByName(later_singles(source, routes).where("first_did < did").select("did", "th", "start", "n", "first_did"))
     # join the runs of windows that overlap or touch in the words they cover
     found = found.select("did", "th", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("e"), "first_did").distinct()
-    within = Window.partitionBy("did", "th").orderBy("s", "e", "first_did")
+    whose = ["did", "th", "first_did"] if by_source else ["did", "th"]
+    within = Window.partitionBy(*whose).orderBy("s", "e", "first_did")
     reach = F.max("e").over(within.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(reach, F.lit(-1)) < F.col("s")).cast("int")).over(within)
-    merged = found.withColumn("island", island).groupBy("did", "th", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min(F.struct("s", "first_did"))["first_did"].alias("first_did"))
+    merged = found.withColumn("island", island).groupBy(*whose, "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min(F.struct("s", "first_did"))["first_did"].alias("source"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return merged.select(real("did").alias("doc_id"), real("first_did").alias("first_doc_id"), "start_word", "end_word")
+    return merged.select(real("did").alias("doc_id"), real("source").alias("first_doc_id"), "start_word", "end_word")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"), by_source=True)

@@ -46,3 +46,12 @@ def test_awkward_texts(spark):
 
 def test_empty_table(spark):
     assert sparse.passages(empty(spark)).collect() == []
+
+
+def test_query_names_every_source(spark, tmp_path):
+    shared, more = (" ".join("%s%d" % (c, i) for i in range(60)) for c in "pq")
+    rest = " ".join("b%d" % i for i in range(440))
+    docs(spark, ["a " + shared, shared + " " + rest, shared + " " + rest, more, shared + " " + more]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in sparse.op8_suffix_array_dedup(spark, str(tmp_path)).collect())
+    # the copy's windows from word 11 on stand in document 1 first
+    assert got == [(1, 0, 0, 60), (2, 0, 0, 60), (2, 1, 11, 500), (4, 0, 0, 60), (4, 3, 60, 120)]
