@@ -5,7 +5,8 @@ come from the lengths of matches and of the pieces between them.  Beyond those,
 every run of 20 or more token characters is scored by two first-order character
 Markov models, one of random strings and one of ordinary identifiers: the sum
 over its character pairs of the log-likelihood ratio.  Runs whose mean ratio per
-pair exceeds a fixed threshold, and that touch no base span, are added.
+pair exceeds a fixed threshold are added.  Characters of base spans count as
+gaps, so the parts of a run around a base span are scored on their own.
 
 The models are counts of character pairs in labelled samples, at most 65 * 65
 numbers, smoothed and made into one literal array; the default samples are made
@@ -97,8 +98,21 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     return F.when(text.rlike(pattern if kind == "assign" else pattern.removesuffix("+") + f"{{{least - (4 if kind == 'access' else 0)},}}"), found).otherwise(_none())
 
 
-def _random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
-    """Spans of the random runs that touch no base span."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with each character of the spans, which are in order, replaced by a space."""
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        end = F.greatest(start, s["end"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def _random_spans(text: Column, ratios: list[float]) -> Column:
+    """Spans of the random runs of a text without its base spans."""
     k = len(ALPHABET)
     table_ = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")  # folded to a literal when planned
     start = F.regexp_extract_all(text, F.lit(RANDOM_RUN), F.lit(0))
@@ -115,8 +129,7 @@ def _random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
         a = acc["at"] + x["gap"]
         b = a + F.length(x["m"])
         span = F.struct(a.alias("start"), F.lit(len(PATTERNS)).alias("rank"), b.alias("end"), F.lit("random").alias("kind"))
-        fresh = ~F.exists(base, lambda s: (s["start"] < b) & (s["end"] > a))
-        return F.struct(b.alias("at"), F.when(fresh & (mean(x["m"]) >= THRESHOLD), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(b.alias("at"), F.when(mean(x["m"]) >= THRESHOLD, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
     return F.when(text.rlike(RANDOM_RUN), found).otherwise(_none())
@@ -127,7 +140,8 @@ def scan(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = (), text:
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(*keep, body.alias("secret_text"), *(_spans(body, k, i, p, g, n).alias(f"secret_{k}") for i, (k, p, g, n) in enumerate(PATTERNS)))
     found = found.select(*keep, "secret_text", F.array_sort(F.concat(*(F.col(f"secret_{k}") for k, *_ in PATTERNS))).alias("secret_base"))
-    found = found.select("*", _random_spans(F.col("secret_text"), F.col("secret_base"), ratios).alias("secret_added"))
+    found = found.select("*", _blanked(F.col("secret_text"), F.col("secret_base")).alias("secret_rest"))
+    found = found.select("*", _random_spans(F.col("secret_rest"), ratios).alias("secret_added"))
     return found.select(*keep, "secret_text", "secret_base", F.array_sort(F.concat("secret_base", "secret_added")).alias("secret_spans"))
 
 
