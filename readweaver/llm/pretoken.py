@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textkit import BYTE_VALUE, ROLL, splitmix
+from .textkit import range_hashes
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 _WHITE = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
@@ -92,7 +92,10 @@ def cut_bare(cp: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Lexicon:
-    """Distinct tokens met by one worker process, each with its ids; emptied when it holds more than `most` tokens."""
+    """Distinct tokens met by one worker process, each with its ids; emptied when it holds more than `most` tokens.
+
+    A token is known by a 64-bit hash and checked by a second one; tokens that share the first and differ in the second are kept by their bytes.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list], most: int = 1_000_000) -> None:
         self.encode, self.most = encode, most
@@ -100,32 +103,47 @@ class Lexicon:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted hashes
+        self.checks = np.zeros(0, np.uint64)
         self.index = np.zeros(0, np.int32)
+        self.odd: dict[bytes, int] = {}
+        self.size = 0
         self.pending: list[bytes] = []
         self.ids = np.zeros(0, np.int32)
         self.offs = np.zeros(1, np.int64)
 
     def make_room(self) -> None:
-        if len(self.keys) > self.most:
+        if self.size > self.most:
             self.clear()
 
+    def _queue(self, tokens: list[bytes]) -> np.ndarray:
+        self.pending += tokens
+        self.size += len(tokens)
+        return np.arange(self.size - len(tokens), self.size, dtype=np.int32)
+
     def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of each token (byte ranges of data); unseen ones are queued for `learn`."""
-        h = splitmix(ROLL.ranges(ROLL.prefix(BYTE_VALUE[data]), starts, ends) + (ends - starts).astype(np.uint64))
+        h, check = range_hashes(data, starts, ends), range_hashes(data, starts, ends, 1)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
-        numbers = np.empty(len(keys), np.int32)
+        numbers, checks = np.empty(len(keys), np.int32), check[first]
         numbers[known] = self.index[at[known]]
+        checks[known] = self.checks[at[known]]
         fresh = np.flatnonzero(~known)
+        raw = data.tobytes()
         if len(fresh):
-            numbers[fresh] = np.arange(len(fresh), dtype=np.int32) + len(self.keys)
-            raw = data.tobytes()
-            self.pending += [raw[s:e] for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())]
+            numbers[fresh] = self._queue([raw[s:e] for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())])
             self.index = np.insert(self.index, at[fresh], numbers[fresh])
+            self.checks = np.insert(self.checks, at[fresh], checks[fresh])
             self.keys = np.insert(self.keys, at[fresh], keys[fresh])
-        return numbers[back]
+        out = numbers[back]
+        for i in np.flatnonzero(check != checks[back]).tolist():
+            token = raw[starts[i] : ends[i]]
+            if token not in self.odd:
+                self.odd[token] = int(self._queue([token])[0])
+            out[i] = self.odd[token]
+        return out
 
     def learn(self) -> None:
         if self.pending:

@@ -1,8 +1,8 @@
 """Quality rules and a calibrated n-gram classifier.
 
 Base rules are counted over whole texts with numpy; the classifier is a
-logistic regression on the relative frequencies of hashed words and hashed
-three-byte character grams, trained on a bounded sample of labelled quality
+logistic regression on the relative frequencies of hashed words, pairs of words
+and grams of three characters (code points), trained on a bounded sample of labelled quality
 rows, calibrated on a fifth of that sample by Platt's method, and scored in
 Arrow batches against a fixed threshold.
 
@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import labelled_sample, table, texts
 from .linear import adam, platt, sigmoid
-from .textkit import ROLL, byte_prefix, covered, gram_hashes, row_of, row_sums, slices, splitmix, word_hashes, words
+from .textkit import covered, gram_hashes, range_hashes, row_of, row_sums, slices, word_hashes, words
 
-BITS = 16
+#: Buckets of each kind of gram, as a power of two, and the kinds: words, pairs of words, character trigrams.
+BITS, KINDS = 16, 3
 SCALE = 50.0
 MIN_WORDS, MAX_REPEATED, MIN_QUALITY = 10, 20, 0.5
 _SYMBOL = np.zeros(256, bool)
@@ -39,7 +40,6 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], tuple]
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     chars = row_sums(heads[ends] - heads[starts], first)
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-    prefix = byte_prefix(data)
     # lines: rows and line feeds both end one
     feeds = np.flatnonzero(data == 10)
     a = np.sort(np.concatenate([offs[:-1], feeds + 1]))
@@ -52,11 +52,11 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], tuple]
     a, b, row = a[has], b[has], row[has]
     dup = np.zeros(len(offs) - 1, np.int64)
     if len(a):
-        h = splitmix(ROLL.ranges(prefix, a, b) + (b - a).astype(np.uint64))
+        h = range_hashes(data, a, b)
         order = np.lexsort((a, h, row))
         again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
         dup = np.bincount(row[order][1:][again], minlength=len(offs) - 1)
-    hashes = splitmix(ROLL.ranges(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+    hashes = word_hashes(data, starts, ends)
     gram, ok = gram_hashes(hashes, first, 5)
     at = np.flatnonzero(ok)
     repeated = np.zeros(len(starts), bool)
@@ -72,18 +72,21 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], tuple]
     return [n, chars, symbols[offs[1:]] - symbols[offs[:-1]], dup, rep], (hashes, first)
 
 
-def grams(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words (0 to 2**16) and of the byte trigrams (2**16 on)."""
-    w = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    if len(data) < 3:
-        return w, np.zeros(0, np.int64)
-    d = data.astype(np.uint32)
-    tri = (d[:-2] << np.uint32(16) | d[1:-1] << np.uint32(8) | d[2:]) * np.uint32(0x9E3779B1)
-    return w, (tri >> np.uint32(32 - BITS)).astype(np.int64) + (1 << BITS)
-
-
-def _trigram_ranges(offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.minimum(offs[:-1], n), np.minimum(np.maximum(offs[1:] - 2, offs[:-1]), n)
+def grams(data: np.ndarray, offs: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, each row's first, each row's end) of the words, the pairs of words and the trigrams of characters, each kind in 2**16 buckets of its own."""
+    size = 1 << BITS
+    out = [((hashes >> np.uint64(64 - BITS)).astype(np.int64), first[:-1], first[1:])]
+    pair, _ = gram_hashes(hashes, first, 2)
+    cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+    tri = np.zeros(0, np.uint32)
+    if len(cp) > 2:
+        tri = (cp[:-2] * np.uint32(0x85EBCA6B) ^ cp[1:-1]) * np.uint32(0xC2B2AE35) ^ cp[2:]
+        tri = (tri ^ tri >> np.uint32(15)) * np.uint32(0x9E3779B1)
+    for kind, (values, cut, n) in enumerate((((pair >> np.uint64(64 - BITS)), first, 2), ((tri >> np.uint32(32 - BITS)), edges, 3)), 1):
+        lo = np.minimum(cut[:-1], len(values))
+        out.append((values.astype(np.int64) + kind * size, lo, np.minimum(np.maximum(cut[1:] - (n - 1), lo), len(values))))
+    return out
 
 
 def train(sample: DataFrame, steps: int = 120, l2: float = 1e-6) -> tuple[np.ndarray, float] | None:
@@ -93,12 +96,12 @@ def train(sample: DataFrame, steps: int = 120, l2: float = 1e-6) -> tuple[np.nda
         for batch in batches:
             for a, b, data, offs in slices(batch.column(2)):
                 starts, ends, first = words(data, offs)
-                w, c = grams(data, word_hashes(data, starts, ends))
-                lo, hi = _trigram_ranges(offs, len(c))
+                parts = grams(data, offs, word_hashes(data, starts, ends), first)
                 keys, values = [], []
                 for i in range(b - a):
                     ks, vs = [], []
-                    for part in (w[first[i] : first[i + 1]], c[lo[i] : hi[i]]):
+                    for buckets, lo, hi in parts:
+                        part = buckets[lo[i] : hi[i]]
                         k, v = np.unique(part, return_counts=True)
                         ks.append(k)
                         vs.append(v * (SCALE / max(1, len(part))))
@@ -116,7 +119,7 @@ def train(sample: DataFrame, steps: int = 120, l2: float = 1e-6) -> tuple[np.nda
     cols, vals = np.concatenate(k).astype(np.int64), np.concatenate([np.frombuffer(r.v, "<f4") for r in got]).astype(np.float64)
     fold = np.arange(len(got)) % 5 == 0  # for calibration
     weight = np.where(fold, 0, np.where(y == 1, 0.5 / max(1, (y[~fold] == 1).sum()), 0.5 / max(1, (y[~fold] == 0).sum())))
-    size = 2 << BITS
+    size = KINDS << BITS
 
     def margin(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, weights=vals * w[cols], minlength=len(got)) + w[-1]
@@ -140,7 +143,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """Counts, base verdict, calibrated quality score (null without a model) and verdict of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model[0].astype(np.float32), model[1]))  # 512 KB whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model[0].astype(np.float32), model[1]))  # 768 KB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -150,10 +153,10 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
                 failed = (n[0] < MIN_WORDS) | (100 * n[4] > MAX_REPEATED * n[0])
                 kept, quality = ~failed, pa.nulls(b - a, pa.float64())
                 if fitted:
-                    w, c = grams(data, hashes)
-                    lo, hi = _trigram_ranges(offs, len(c))
-                    p = np.concatenate([[0], np.cumsum(fitted[0][c], dtype=np.float64)])
-                    z = row_sums(fitted[0][w].astype(np.float64), first) * SCALE / np.maximum(n[0], 1) + (p[hi] - p[lo]) * SCALE / np.maximum(hi - lo, 1) + fitted[1]
+                    z = np.full(b - a, fitted[1])
+                    for buckets, lo, hi in grams(data, offs, hashes, first):
+                        p = np.concatenate([[0], np.cumsum(fitted[0][buckets], dtype=np.float64)])
+                        z += (p[hi] - p[lo]) * SCALE / np.maximum(hi - lo, 1)
                     q = sigmoid(z)
                     kept, quality = kept & (q >= MIN_QUALITY), pa.array(q)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in n), pa.array(failed), quality, pa.array(kept)], [f.split()[0] for f in SCHEMA.split(", ")])

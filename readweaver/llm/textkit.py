@@ -6,6 +6,7 @@ numpy; no function keeps state that grows with the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,40 +29,9 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Hashes of all ranges of a sequence by one prefix sum modulo 2**64.
-
-    hash(range) = sum of value[i] * B**(i - start); the power table grows on demand.
-    """
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self) -> None:
-        self.pow = np.ones(1, np.uint64)
-        self.inv = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.pow) >= n:
-            return
-        n = max(n, 2 * len(self.pow))
-        for name, base in (("pow", self.BASE), ("inv", pow(self.BASE, -1, 1 << 64))):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            setattr(self, name, np.cumprod(out, dtype=np.uint64))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.pow[: len(values)], out=out[1:])
-        return out
-
-    def ranges(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (prefix[ends] - prefix[starts]) * self.inv[starts]
-
-
-ROLL = Rolling()
-#: Byte -> random 64-bit value, so that short words differ in all bits.
-BYTE_VALUE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each pair of hashes, in that order."""
+    return splitmix((a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D)) ^ b)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,25 +75,55 @@ def words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return ROLL.prefix(BYTE_VALUE[data])
+#: Ranges of more bytes than this are hashed one by one.
+_LONG = 512
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range: its length and its eight-byte pieces, mixed one after the other.
+
+    Two ranges of eight bytes or fewer and one length never have the same hash.
+    """
+    size = ends - starts
+    out = splitmix(size.astype(np.uint64) + np.uint64(seed << 48 | 1))
+    if not len(out):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, k = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        piece = eight[at]
+        part = left < 8
+        piece[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        h = splitmix(h * np.uint64(0x9E3779B97F4A7C15) ^ piece)
+        more = left > 8
+        out[live[~more]] = h[~more]
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return out
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return splitmix(ROLL.ranges(byte_prefix(data), starts, ends) + (ends - starts).astype(np.uint64))
+    return range_hashes(data, starts, ends)
 
 
 def gram_hashes(values: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n values from each position on, and whether that run stays in its row.
 
+    Runs of 2, 4, 8, ... values are joined from halves, and n values from the two longest such runs, which may overlap.
     ``first`` is the row index table of `words`.
     """
     count = len(values) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    at = np.arange(count)
-    out = splitmix(ROLL.ranges(ROLL.prefix(values), at, at + n))
+    out, span = splitmix(values + np.uint64(n)), 1
+    while span < n:
+        step = min(span, n - span)
+        out = join(out[:-step], out[step:])
+        span += step
     ok = np.ones(count, bool)
     edges = first[1:-1]
     for k in range(1, n):

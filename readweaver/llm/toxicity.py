@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import labelled_sample, table, texts
 from .linear import adam, sigmoid
-from .textkit import ROLL, byte_prefix, row_of, slices, splitmix, words
+from .textkit import range_hashes, row_of, slices, words
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -59,14 +59,14 @@ def bucket_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(row, bucket) of the distinct features of each row, sorted by row."""
     data = _LOWER[data]
     starts, ends, first = words(data, offs, _GAP)
-    rows, prefix = row_of(first), byte_prefix(data)
+    rows = row_of(first)
     n = ends - starts
     parts, at = [], []
     for k in (0, *PREFIXES):
         pick = n > 0 if k == 0 else n > k
         s = starts[pick]
         e = ends[pick] if k == 0 else s + k
-        h = splitmix(ROLL.ranges(prefix, s, e) + np.uint64(k + 1)) & np.uint64(BUCKETS - 1)
+        h = range_hashes(data, s, e, k) & np.uint64(BUCKETS - 1)
         parts.append(h.astype(np.int64))
         at.append(rows[pick])
     key = np.unique(np.concatenate(at) * BUCKETS + np.concatenate(parts)) if parts else np.zeros(0, np.int64)
