@@ -13,7 +13,9 @@ groups, so no length's pieces meet in one task.
 Defined results: a null text is the empty text, whose only id is the end id;
 repeated rows are packed each; a null doc_id stays null; an empty table gives an
 empty table; other columns are ignored; texts of any length are cut, never
-truncated.
+truncated; the vocabulary's special tokens in a text are those tokens, as the
+library has it.  Sequences end at `capacity` only: a shorter one whose length is
+a power of two would need no padding either, but costs a sequence more.
 """
 from __future__ import annotations
 
@@ -38,13 +40,23 @@ END_ID = 2
 # -- ids -----------------------------------------------------------------------------------------------------------------------
 
 @lru_cache(maxsize=2)
-def _lexicon(path: str) -> Lexicon:
-    """One for each worker process and vocabulary: distinct pieces of text are encoded once."""
+def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _specials(path: str) -> tuple[str, ...]:
+    """The vocabulary's added tokens, in lower case."""
+    return tuple(t.content.lower() for t in _tokenizer(path).get_added_tokens_decoder().values())
+
+
+@lru_cache(maxsize=2)
+def _lexicon(path: str) -> Lexicon:
+    """One for each worker process and vocabulary: distinct pieces of text are encoded once."""
+    tokenizer = _tokenizer(path)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids, sizes = [], []
@@ -78,14 +90,21 @@ def encode_batch(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.nda
     held = []
     for a, b, data, offs in slices(column):
         text, edges = _normalised(data, offs)
+        special = [t for t in _specials(path) if t in text]
+        whole = [i for i in range(b - a) if any(t in text[edges[i] : edges[i + 1]] for t in special)] if special else []
         starts, ends = cut_bare(np.frombuffer(text.encode("utf-32-le"), np.uint32), edges)
         raw = np.frombuffer(text.encode(), np.uint8)
         heads = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        held.append((a, b, lexicon.number(raw, heads[starts], heads[ends]), np.searchsorted(starts, edges)))
+        rows = {i: data[offs[i] : offs[i + 1]].tobytes().decode() for i in whole}
+        held.append((a, b, lexicon.number(raw, heads[starts], heads[ends]), np.searchsorted(starts, edges), rows))
     lexicon.learn()
-    for a, b, numbers, first in held:
+    for a, b, numbers, first, rows in held:
         ids, before = lexicon.gather(numbers)
-        yield a, b, ids, before[first]
+        offs = before[first]
+        if rows:  # a special token's string is its id: such texts go to the library whole
+            parts = [np.array(_tokenizer(path).encode(rows[i], add_special_tokens=False).ids, np.int32) if i in rows else ids[offs[i] : offs[i + 1]] for i in range(b - a)]
+            ids, offs = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        yield a, b, ids, offs
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

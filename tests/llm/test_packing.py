@@ -37,9 +37,8 @@ def check(rows, ids_of, capacity):
 
 
 def test_pack_against_the_library(spark):
-    texts = awkward_texts(3, 150) + ["ΑΣ ΟΔΟΣ", "é é", "DON'T we'Re", "İstanbul"]
+    texts = awkward_texts(3, 150) + ["ΑΣ ΟΔΟΣ", "é é", "DON'T we'Re", "İstanbul", "a <|endoftext|> b", "<|ENDOFTEXT|>", "x<|startoftext|><|endoftext|>É", "<|endoftext"]
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     for capacity in (64, 4096):
         rows = packing.pack(docs(spark, texts), PATH, capacity).collect()
