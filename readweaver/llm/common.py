@@ -18,12 +18,14 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def durable(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is taken.
+    Where no folder is named, a local master, whose executors are this machine, takes a temporary one; any other is told to name one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table, texts
 from .textkit import slices
@@ -200,4 +200,5 @@ def decode_media(media: DataFrame, to_rate: int = 16000, keep_pcm: bool = True)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_media(encode_media(table(spark, sf_dir, "documents"), "mulaw"), keep_pcm=False)
+    stored = decode_media(encode_media(table(spark, sf_dir, "documents"), "mulaw"))
+    return stored.withColumns({"pcm_bytes": F.length("pcm").cast("long"), "pcm_crc32": F.crc32("pcm")}).drop("pcm")
