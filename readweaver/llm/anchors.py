@@ -12,9 +12,14 @@ windows that can be equal:
 3. cut the documents' windows that pass into segments, the runs of windows with
    the same minimiser position, and route each by its minimiser's hash.
 
-Minimisers that occur more than `HOT` times are in a second filter; their
-windows go one by one, routed by a 128-bit hash of the whole window, where equal
-windows are combined before they are shuffled.
+Minimisers that occur `HOT` times or more are split: their windows are counted one
+by one, those that occur once go no further (a second bit filter, over hashes of
+whole windows), and the rest are cut into segments anew by the minimisers of much
+longer grams, which follow the window's own words and not the frequent gram.  So
+the edges of a passage that many documents share are cut alike in all of them.
+Equal segments of that kind are combined before they are shuffled: of each, a task
+sends the earliest with its words and the others as copies without, dealt evenly,
+and no key gathers the rows of a frequent passage.
 """
 from __future__ import annotations
 
@@ -25,13 +30,17 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import gram_hashes, row_of, slices, splitmix, word_hashes, words
+from .textkit import gram_hashes, join, row_of, slices, splitmix, word_hashes, words
 
-#: Occurrences from which a minimiser's windows are routed one by one.  It bounds a shard's memory: 2**15 segments of at most 34 words (windows of 20
-#: words, grams of 6) are 1.1 million words, for which an index takes some 130 MB while it is built.
-HOT = 1 << 15
+#: Occurrences from which a minimiser's windows are split.  It bounds a shard's memory: 4,000 segments of at most 34 words (windows of 20 words,
+#: grams of 6) are 136,000 words.
+HOT = 4000
 #: Bytes of a word's symbol in a segment.
-SYMBOL = 5
+SYMBOL = 6
+#: Words of split segments that a task holds to combine equal ones.
+HELD = 1 << 21
+#: Mark in a segment's `a` that it stands for copies; places of minimisers are smaller.
+STANDS = 1 << 16
 #: Bounds of the bit filter, as powers of two: 8 KB and 64 MB.
 LEAST_BITS, MOST_BITS = 16, 29
 NULL_ID = (1 << 63) - 1
@@ -105,83 +114,161 @@ def has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 class Routes:
-    """The two filters of a corpus, broadcast."""
+    """The filters of a corpus, broadcast."""
 
     def __init__(self, docs: DataFrame, length: int, m: int, hot: int = HOT) -> None:
         from .common import durable
 
-        self.length, self.m = length, m
+        self.length, self.m, self.wide = length, m, max(m, length * 13 // 20)
         counted = durable(count_minimisers(docs, length, m))
         bits = min(MOST_BITS, max(LEAST_BITS, (16 * counted.count()).bit_length()))
         sc = docs.sparkSession.sparkContext
         self.seen: Broadcast = sc.broadcast(bit_filter(counted, 2, bits))
         self.hot: Broadcast = sc.broadcast(bit_filter(counted, hot, min(bits, 24)))
-        self.any_hot = bool(self.hot.value.any())
+        self.again: Broadcast | None = None
+        if self.hot.value.any():
+            counted = durable(count_windows(docs, self))
+            bits = min(MOST_BITS, max(LEAST_BITS, (16 * counted.count()).bit_length()))
+            self.again = sc.broadcast(bit_filter(counted, 2, bits))
 
 
-#: A run of windows with one minimiser: its words' symbols and the minimiser's place in it.
+def count_windows(docs: DataFrame, routes: Routes) -> DataFrame:
+    """(g, n) of the whole windows with a frequent minimiser that occur twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column(0)):
+                starts, ends, first = words(data, offs)
+                hashes = word_hashes(data, starts, ends)
+                at, place, gram = minimisers(hashes, first, routes.length, routes.m)
+                at = at[has(routes.hot.value, gram[place])]
+                g, n = np.unique(gram_hashes(hashes, first, routes.length)[0][at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["g", "n"])
+
+    return docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+#: A run of windows with one minimiser: its words' symbols and the minimiser's place in it.  A copy has minus its number of windows for the place and,
+#: for the words, did, th and start of the equal segment that stands for it.
 SEGMENT = "g long, did long, th long, start int, a int, words binary"
-#: A window of a frequent minimiser: 128 bits of hash.
-SINGLE = "w1 long, w2 long, did long, th long, start int"
+FIELDS = [f.split()[0] for f in SEGMENT.split(", ")]
+_COPY = np.dtype([("did", "<i8"), ("th", "<i8"), ("start", "<i4")])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], routes: Routes, single: bool) -> Iterator[tuple]:
-    """(did, th, hashes, first, gram, window starts, minimiser places, row of each word) of the slices that have windows to route."""
-    for batch in batches:
-        did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b, data, offs in slices(batch.column(2)):
-            starts, ends, first = words(data, offs)
-            hashes = word_hashes(data, starts, ends)
-            at, place, gram = minimisers(hashes, first, routes.length, routes.m)
-            keep = has(routes.seen.value, gram[place])
-            keep[keep] = has(routes.hot.value, gram[place[keep]]) == single
-            if keep.any():
-                yield did[a:b], th[a:b], hashes, first, gram, at[keep], place[keep], row_of(first)
+def _symbols(hashes: np.ndarray) -> np.ndarray:
+    return hashes & np.uint64((1 << 8 * SYMBOL) - 1)
+
+
+def _pack(column: list[np.ndarray], symbols: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Rows SEGMENT with the symbols from s to e."""
+    raw = np.ascontiguousarray(symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL]).reshape(-1)
+    size = (e - s) * SYMBOL
+    before = np.concatenate([[0], np.cumsum(size)])
+    body = raw[np.repeat(s * SYMBOL - before[:-1], size) + np.arange(before[-1])]
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(before.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+    return pa.RecordBatch.from_arrays([*map(pa.array, column), packed], FIELDS)
+
+
+def content(symbols: np.ndarray, offs: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each segment's symbols (offs from 0, no segment empty) and of the numbers in keys."""
+    place = np.arange(len(symbols)) - np.repeat(offs[:-1], np.diff(offs))
+    out = []
+    for seed in (1, 2):
+        h = np.add.reduceat(join(symbols + np.uint64(seed << 56), place.astype(np.uint64)), offs[:-1])
+        for k in (np.diff(offs), *keys):
+            h = join(h, k.astype(np.int64).view(np.uint64))
+        out.append(h)
+    return out[0], out[1]
+
+
+def stand_ins(one: np.ndarray, two: np.ndarray, did: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each segment the earliest (by did, then start) of those with both its hashes; segments as early as that stand for themselves."""
+    order = np.lexsort((start, did, two, one))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+    own = (did[head] == did) & (start[head] == start)
+    head[own] = np.flatnonzero(own)
+    return head
 
 
 def segments(docs: DataFrame, routes: Routes) -> DataFrame:
     """The documents' windows whose minimiser repeats, as rows SEGMENT."""
-    length = routes.length
+    length, wide = routes.length, routes.wide
+
+    def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Split segments (g, did, th, start, a, symbols, sizes): equal ones as one and its copies."""
+        g, did, th, start, a, symbols, sizes = (np.concatenate(c) for c in zip(*held))
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        head = stand_ins(*content(symbols, offs, g, a), did, start)
+        own = head == np.arange(len(head))
+        place = a.copy()
+        place[head[~own]] |= STANDS
+        yield _pack([c[own] for c in (g, did, th, start, place)], symbols, offs[:-1][own], offs[1:][own])
+        if not own.all():
+            rest = np.flatnonzero(~own)
+            of = np.empty(len(rest), _COPY)
+            for name, c in (("did", did), ("th", th), ("start", start)):
+                of[name] = c[head[rest]]
+            spread = join(did[rest].view(np.uint64), start[rest].astype(np.uint64)).view(np.int64)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer((np.arange(len(rest) + 1) * _COPY.itemsize).astype(np.int32).tobytes()), pa.py_buffer(of.tobytes())])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, did[rest], th[rest], start[rest], (length - 1 - sizes[rest]).astype(np.int32))), packed], FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, hashes, first, gram, x, p, row in _windows(batches, routes, False):
-            lead = np.ones(len(x), bool)
-            lead[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1] + 1)
-            s = x[lead]
-            e = x[np.append(np.flatnonzero(lead)[1:], len(x)) - 1] + length
-            symbols = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL]).reshape(-1)
-            size = (e - s) * SYMBOL
-            before = np.concatenate([[0], np.cumsum(size)])
-            body = symbols[np.repeat(s * SYMBOL - before[:-1], size) + np.arange(before[-1])]
-            packed = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(before.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-            r = row[s]
-            cols = [gram[p[lead]].view(np.int64), did[r], th[r], (s - first[r]).astype(np.int32), (p[lead] - s).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), packed], [f.split()[0] for f in SEGMENT.split(", ")])
+        held, size = [], 0
+        for batch in batches:
+            did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, offs in slices(batch.column(2)):
+                starts, ends, first = words(data, offs)
+                hashes = word_hashes(data, starts, ends)
+                at, place, gram = minimisers(hashes, first, length, routes.m)
+                keep = has(routes.seen.value, gram[place])
+                at, place = at[keep], place[keep]
+                kinds = [(at, place, gram)]
+                if routes.again is not None:
+                    often = has(routes.hot.value, gram[place])
+                    if often.any():
+                        again = at[often]
+                        again = again[has(routes.again.value, gram_hashes(hashes, first, length)[0][again])]
+                        x, p, g = minimisers(hashes, first, length, wide)
+                        kinds = [(at[~often], place[~often], gram), (again, p[np.searchsorted(x, again)], splitmix(g + np.uint64(1)))]
+                row = row_of(first)
+                symbols = _symbols(hashes)
+                for k, (x, p, g) in enumerate(kinds):
+                    if not len(x):
+                        continue
+                    lead = np.ones(len(x), bool)
+                    lead[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1] + 1)
+                    s = x[lead]
+                    e = x[np.append(np.flatnonzero(lead)[1:], len(x)) - 1] + length
+                    r = row[s]
+                    columns = [g[p[lead]].view(np.int64), did[lo:hi][r], th[lo:hi][r], (s - first[r]).astype(np.int32), (p[lead] - s).astype(np.int32)]
+                    if not k:
+                        yield _pack(columns, symbols, s, e)
+                        continue
+                    before = np.concatenate([[0], np.cumsum(e - s)])
+                    held.append((*columns, symbols[np.repeat(s - before[:-1], e - s) + np.arange(before[-1])], e - s))
+                    size += int(before[-1])
+                    if size >= HELD:
+                        yield from combined(held)
+                        held, size = [], 0
+        if held:
+            yield from combined(held)
 
     return docs.select("did", "th", "text").mapInArrow(run, SEGMENT)
 
 
-def singles(docs: DataFrame, routes: Routes) -> DataFrame:
-    """The windows of frequent minimisers, as rows SINGLE."""
-    length = routes.length
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, hashes, first, _, x, _, row in _windows(batches, routes, True):
-            one, _ = gram_hashes(hashes, first, length)
-            two, _ = gram_hashes(splitmix(hashes ^ np.uint64(0x5851F42D4C957F2D)), first, length)
-            r = row[x]
-            cols = [one[x].view(np.int64), two[x].view(np.int64), did[r], th[r], (x - first[r]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], [f.split()[0] for f in SINGLE.split(", ")])
-
-    return docs.select("did", "th", "text").mapInArrow(run, SINGLE)
-
-
-def later_singles(docs: DataFrame, routes: Routes) -> DataFrame:
-    """(did, th, start, n = 1, first_did) of the frequent minimisers' windows that also start earlier."""
-    found = singles(docs, routes)
-    first = found.groupBy("w1", "w2").agg(F.min(F.struct("did", "start")).alias("first"))
-    late = found.join(first, ["w1", "w2"]).where(F.struct("did", "start") > F.col("first"))
-    return late.select("did", "th", "start", F.lit(1).alias("n"), F.col("first.did").alias("first_did"))
+def copies(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+    """(the segments among rows SEGMENT, (did, th, start, number of windows, did, th and start of the stand-in) of the copies)."""
+    a = batch.column("a").to_numpy()
+    rest = a < 0
+    if not rest.any():
+        z = np.zeros(0, np.int64)
+        return batch, (z,) * 7
+    part = batch.filter(pa.array(rest))
+    of = np.frombuffer(b"".join(part.column("words").to_pylist()), _COPY)
+    return batch.filter(pa.array(~rest)), (*(part.column(c).to_numpy() for c in ("did", "th", "start")), -a[rest], of["did"], of["th"], of["start"])
 
 
 def unpack_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -14,8 +14,10 @@ window; by source, it has a row for each such document and each maximal stretch
 of the windows that stand there first, so stretches of different sources may
 overlap.  A passage is `length` words or more.
 
-Size: a minimiser's segments are bounded (frequent ones go window by window and
-are grouped exactly).  Word symbols are 40-bit hashes.
+Size: a minimiser's segments are bounded (those of frequent ones are split and equal
+ones combined).  What is found for a segment that stands for copies is handed to
+them by a join on that segment, which has no more copies than one task combined.
+Word symbols are 48 bits of a 64-bit hash.
 
 Defined results: a null text has no words; a null doc_id counts as the largest
 and stays null; rows with the same doc_id are one document, whose own repeats
@@ -30,8 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .anchors import HOT, NULL_ID, Routes, keyed, later_singles, runs, segments, shards, unpack_words
-from .common import partitions, table
+from .anchors import HOT, NULL_ID, STANDS, Routes, copies, keyed, runs, segments, shards, unpack_words
+from .common import durable, partitions, table
 
 LENGTH, GRAM = 50, 8
 SHARD_WORDS = 150_000
@@ -56,10 +58,11 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(did, th, start, first did) of a shard's windows that also stand in an earlier document, in order."""
+def first_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, ...]:
+    """(segment, start, first did) of each of a shard's windows that stands in a segment of an earlier document or whose segment stands for copies."""
     shard = shard.combine_chunks()
-    did, th, start, a = (shard.column(c).to_numpy().astype(np.int64) for c in ("did", "th", "start", "a"))
+    did, start, a = (shard.column(c).to_numpy().astype(np.int64) for c in ("did", "start", "a"))
+    stands, a = a >= STANDS, a % STANDS
     symbols, offs = unpack_words(shard.column("words").chunk(0))
     ids = np.unique(symbols, return_inverse=True)[1] + 1
     n = np.diff(offs)
@@ -70,7 +73,7 @@ def repeated_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarr
     hits = []
     for x in range(int(a.max(initial=-1)) + 1):
         who = np.flatnonzero((x <= a) & (x >= a - (n - length)))
-        if len(who) < 2:
+        if not len(who):
             continue
         r, l = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
         r[right_order] = np.cumsum(right < length - x)
@@ -81,18 +84,17 @@ def repeated_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarr
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
         first = did[own[np.flatnonzero(lead)]][np.cumsum(lead) - 1]
-        late = did[own] > first
-        own = own[late]
-        hits.append((did[own], th[own], start[own] + a[own] - x, first[late]))
+        told = (did[own] > first) | stands[own]
+        hits.append((own[told], (start[own] + a[own] - x)[told], first[told]))
     if not hits:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
-    d, t, s, f = (np.concatenate(c) for c in zip(*hits))
-    way = np.lexsort((s, t, d))
-    return d[way], t[way], s[way], f[way]
+        return z, z, z
+    return tuple(np.concatenate(c) for c in zip(*hits))
 
 
-FOUND = "did long, th long, start int, n int, first_did long"
+#: kind 0: windows of a document that stand in first_did before; 1: those of the segment at `base` that stands for copies; 2: a copy of that segment, whose
+#: document is other_did.
+FOUND = "kind int, did long, th long, start int, n int, first_did long, base int, other_did long, other_th long, other_start int"
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, m: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS, by_source: bool = False) -> DataFrame:
@@ -104,15 +106,51 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     routes = Routes(source, length, m, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_words):
-            did, th, start, first = repeated_windows(shard, length)
-            if len(did):
-                at, n = runs(did, th, start, first)
-                yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(th[at]), pa.array(start[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(first[at])], ["did", "th", "start", "n", "first_did"])
+        late: list[tuple[np.ndarray, ...]] = []
+        fields = [f.split() for f in FOUND.split(", ")]
+
+        def rows(kind: int, size: int, **columns: np.ndarray) -> pa.RecordBatch:
+            kinds = {"int": pa.int32(), "long": pa.int64()}
+            columns["kind"] = np.full(size, kind)
+            return pa.RecordBatch.from_arrays([pa.array(columns[f], kinds[k]) if f in columns else pa.nulls(size, kinds[k]) for f, k in fields], [f for f, _ in fields])
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, copied = copies(batch)
+                if len(copied[0]):
+                    late.append(copied)
+                yield own
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            while late:
+                did, th, start, n, *of = late.pop()
+                yield rows(2, len(did), did=of[0], th=of[1], base=of[2], n=n, other_did=did, other_th=th, other_start=start)
+
+        for shard in shards(whole(), shard_words):
+            own, start, first = first_windows(shard, length)
+            did, th, base, stands = (shard.column(c).to_numpy() for c in ("did", "th", "start", "a"))
+            for kind, told in ((0, did[own] > first), (1, stands[own] >= STANDS)):
+                seg, s, f = own[told], start[told], first[told]
+                if len(seg):
+                    way = np.lexsort((s, *((seg,) if kind else ()), th[seg], did[seg]))
+                    seg, s, f = seg[way], s[way], f[way]
+                    at, n = runs(did[seg], th[seg], s, f, *((seg,) if kind else ()))
+                    yield rows(kind, len(at), did=did[seg[at]], th=th[seg[at]], start=s[at], n=n, first_did=f[at], base=base[seg[at]])
+            yield from passed()
+        yield from passed()
 
     found = segments(source, routes).repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, FOUND)
-    if routes.any_hot:
-        found = found.unionByName(later_singles(source, routes).where("first_did < did").select("did", "th", "start", "n", "first_did"))
+    if routes.again is None:
+        found = found.where("kind = 0")
+    else:
+        # what the segments in the copies' place have, from there on
+        found = durable(found)
+        place = ["did", "th", "base"]
+        copied = found.where("kind = 2").select(*place, "other_did", "other_th", "other_start").join(found.where("kind = 1").select(*place, "start", "n", "first_did"), place)
+        copied = copied.where("first_did < other_did").select(
+            F.col("other_did").alias("did"), F.col("other_th").alias("th"), (F.col("start") - F.col("base") + F.col("other_start")).cast("int").alias("start"), "n", "first_did"
+        )
+        found = found.where("kind = 0").select(*copied.columns).unionByName(copied)
     # join the runs of windows that overlap or touch in the words they cover
     found = found.select("did", "th", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("e"), "first_did").distinct()
     whose = ["did", "th", "first_did"] if by_source else ["did", "th"]

@@ -4,16 +4,19 @@ A window is `length` consecutive words of one document.  The words that are
 covered by a window whose word sequence also starts earlier (smaller doc_id, or
 same document and earlier start) go.  Windows that can repeat are routed by
 their minimisers (see `anchors`); the segments of a few minimisers form a
-shard.  A shard's text, the segments' words with separators between, is sorted
-to the depth of a window, and its Burrows-Wheeler transform is kept in a
-wavelet matrix of packed bits with counts for every 64 of them.  The segments are
-then streamed against it: from each window's end the backward search goes on
-until the match is unique or as long as the threshold, all windows in step; a
-match of full length reports the window if the earliest place in its suffix
-interval precedes it.
-
-Size: a minimiser's segments are bounded (frequent ones go window by window and
-are grouped exactly), so a shard is, too.  Word symbols are 40-bit hashes.
+shard.  Equal segments of a shard are indexed once, by the earliest; all windows
+of the others are later ones.  A shard's text, the words of its different
+segments with separators between, is sorted to the depth of a window; what stays
+of that is its Burrows-Wheeler transform, in a wavelet matrix of packed bits with
+counts for every 64 of them, and the earliest place of each repeated window.  The
+segments are then streamed against it: from each window's end the backward search
+goes on until the match is unique or as long as the threshold, all windows in
+step; a match of full length reports the window if the earliest place of its
+suffix interval precedes it.
+
+Size: a minimiser's segments are bounded (those of frequent ones are split), so a
+shard is, too.  Word symbols are 48 bits of a 64-bit hash: two windows that differ
+in one word are taken for equal once in 2.8e14.
 
 Defined results: a null text has no words; a null doc_id counts as the largest
 and stays null in the result; rows with the same doc_id are ordered by the
@@ -30,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .anchors import HOT, NULL_ID, Routes, keyed, later_singles, runs, segments, shards, unpack_words
+from .anchors import HOT, NULL_ID, Routes, content, copies, keyed, runs, segments, shards, stand_ins, unpack_words
 from .common import partitions, table
 from .textkit import row_sums, slices, words
 
 LENGTH, GRAM = 20, 6
-SHARD_WORDS = 150_000
+SHARD_WORDS = 250_000
 
 
 class WaveletMatrix:
@@ -72,11 +75,14 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search for patterns of at most `depth` symbols without separators (0) in a text whose last symbol is 0."""
+    """Backward search for patterns of `depth` symbols in a text of numbers below `size`, whose separators and last symbol are 0.
+
+    ``order`` is the rank of each place; of a repeated pattern the smallest rank is kept.
+    """
 
-    def __init__(self, text: np.ndarray, size: int, depth: int) -> None:
-        self.text = text
+    def __init__(self, text: np.ndarray, size: int, depth: int, order: np.ndarray) -> None:
         n = len(text)
+        self.depth = depth
         rank, known = text.astype(np.int64), 1
         while True:
             step = min(known, depth - known)
@@ -85,9 +91,13 @@ class FMIndex:
             if known >= depth:
                 break
             rank = np.unique(key, return_inverse=True)[1]
-        self.suffix = np.argsort(key, kind="stable")
+        suffix = np.argsort(key, kind="stable")
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.wavelet = WaveletMatrix(text[self.suffix - 1].astype(np.int64), size)
+        self.wavelet = WaveletMatrix(text[suffix - 1].astype(np.int64), size)
+        lead = np.flatnonzero(np.append(True, key[suffix][1:] != key[suffix][:-1]))
+        earliest = np.minimum.reduceat(order[suffix], lead)
+        twice = np.diff(np.append(lead, n)) > 1
+        self.lows, self.earliest = lead[twice].astype(np.int32), earliest[twice]
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of symbol + pattern from those of the patterns."""
@@ -95,58 +105,54 @@ class FMIndex:
         both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.tile(self.first[symbol], 2)
         return both[:n], both[n:]
 
-    def repeats(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which of the windows text[at : at + length] occur twice or more, their suffix intervals' starts and ends).
+    def repeats(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the windows text[at : at + depth] occur twice or more, the smallest rank of each one's places).
 
         The matching statistic of a window's end is cut short where the match is unique.
         """
         live = np.arange(len(at))
-        c = self.text[at + length - 1]
+        c = text[at + self.depth - 1]
         lo, hi = self.first[c], self.first[c + 1]
-        for k in range(length - 2, -1, -1):
+        for k in range(self.depth - 2, -1, -1):
             more = hi - lo > 1
             live, lo, hi = live[more], lo[more], hi[more]
             if not len(live):
                 break
-            lo, hi = self.extend(self.text[at[live] + k], lo, hi)
+            lo, hi = self.extend(text[at[live] + k], lo, hi)
         more = hi - lo > 1
-        return live[more], lo[more], hi[more]
+        return live[more], self.earliest[np.searchsorted(self.lows, lo[more])]
 
 
-def later_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(did, th, start, did of the earliest place) of a shard's windows that also start earlier, in order."""
+def later_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(did, th, start) of a shard's windows that also start earlier, in order."""
     shard = shard.combine_chunks()
     did, th, start = (shard.column(c).to_numpy() for c in ("did", "th", "start"))
     symbols, offs = unpack_words(shard.column("words").chunk(0))
-    ids = np.unique(symbols, return_inverse=True)[1] + 1
+    head = stand_ins(*content(symbols, offs), did, start)
+    own = np.flatnonzero(head == np.arange(len(head)))
+    rest = np.flatnonzero(head != np.arange(len(head)))
     sizes = np.diff(offs)
-    places = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)
-    text = np.zeros(len(ids) + len(sizes), np.int64)
-    text[places] = ids
-    index = FMIndex(text, int(ids.max()) + 1, length)
+    inside = np.repeat(head == np.arange(len(head)), sizes)
+    n = sizes[own]
+    ids = np.unique(symbols[inside], return_inverse=True)[1] + 1
+    text = np.zeros(len(ids) + len(n), np.int32)
+    text[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
     # order of the places: by document, then by word
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    word = np.arange(len(text)) - (offs[:-1] + np.arange(len(sizes)))[owner] + start[owner]
-    docs, rank = np.unique(did, return_inverse=True)
-    order = rank[owner] * (int(word.max()) + 1) + word
-    wins = np.flatnonzero(np.arange(len(text)) + length <= (offs[1:] + np.arange(len(sizes)))[owner])
-    live, lo, hi = index.repeats(wins, length)
-    if not len(live):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
-    lows, back = np.unique(lo, return_inverse=True)
-    highs = np.zeros(len(lows), np.int64)
-    highs[back] = hi
-    edges = np.stack([lows, highs], 1).ravel()
-    placed = np.append(order[index.suffix], np.iinfo(np.int64).max)
-    earliest = np.minimum.reduceat(placed, edges)[::2][back]
-    at = wins[live]
-    late = earliest < order[at]
-    at, earliest = at[late], earliest[late]
-    own = owner[at]
-    way = np.lexsort((word[at], th[own], did[own]))
-    at, own = at[way], own[way]
-    return did[own], th[own], word[at], docs[earliest[way] // (int(word.max()) + 1)]
+    owner = np.repeat(np.arange(len(n)), n + 1)
+    lo = np.cumsum(n + 1) - (n + 1)
+    word = np.arange(len(text)) - lo[owner] + start[own][owner]
+    order = np.unique(did[own], return_inverse=True)[1][owner] * (int(word.max()) + 1) + word
+    index = FMIndex(text, int(ids.max()) + 1, length, order)
+    wins = np.flatnonzero(np.arange(len(text)) + length <= (lo + n)[owner])
+    live, earliest = index.repeats(text, wins)
+    at = wins[live][earliest < order[wins[live]]]
+    # all windows of the segments that another stands for
+    many = sizes[rest] - length + 1
+    more = np.repeat(rest, many)
+    place = np.arange(len(more)) - np.repeat(np.cumsum(many) - many, many) + start[more]
+    d, t, s = np.concatenate([did[own][owner[at]], did[more]]), np.concatenate([th[own][owner[at]], th[more]]), np.concatenate([word[at], place])
+    way = np.lexsort((s, t, d))
+    return d[way], t[way], s[way]
 
 
 FOUND = "did long, th long, start int, n int"
@@ -157,17 +163,29 @@ def repeated(docs: DataFrame, length: int = LENGTH, m: int = GRAM, hot: int = HO
     routes = Routes(docs, length, m, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_words):
-            did, th, start, _ = later_windows(shard, length)
+        late: list[tuple[np.ndarray, ...]] = []
+
+        def rows(did: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["did", "th", "start", "n"])
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, copied = copies(batch)
+                if len(copied[0]):
+                    late.append(copied)
+                yield own
+
+        for shard in shards(whole(), shard_words):
+            did, th, start = later_windows(shard, length)
             if len(did):
                 at, n = runs(did, th, start)
-                yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(th[at]), pa.array(start[at].astype(np.int32)), pa.array(n.astype(np.int32))], ["did", "th", "start", "n"])
+                yield rows(did[at], th[at], start[at], n)
+            while late:
+                yield rows(*late.pop()[:4])
+        while late:
+            yield rows(*late.pop()[:4])
 
-    parts = partitions(docs.sparkSession)
-    found = segments(docs, routes).repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, FOUND)
-    if routes.any_hot:
-        found = found.unionByName(later_singles(docs, routes).select("did", "th", "start", "n"))
-    return found
+    return segments(docs, routes).repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, FOUND)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False, **options) -> DataFrame:

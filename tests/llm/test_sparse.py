@@ -38,6 +38,47 @@ def test_against_brute_force(spark, length, m, hot, shard):
     assert sorted(got, key=str) == brute(rows, length)
 
 
+def by_source(rows, length):
+    """Maximal stretches for each first document."""
+    first = {}
+    for i, t in rows:
+        w = split(t)
+        for s in range(len(w) - length + 1):
+            key = tuple(w[s : s + length])
+            first[key] = min(first.get(key, i), i)
+    out = set()
+    for i, t in set(rows):
+        w, spans = split(t), {}
+        for s in range(len(w) - length + 1):
+            f = first[tuple(w[s : s + length])]
+            if f < i:
+                own = spans.setdefault(f, [])
+                if own and s <= own[-1][1]:
+                    own[-1][1] = s + length
+                else:
+                    own.append([s, s + length])
+        out |= {(i, f, s, e) for f, own in spans.items() for s, e in own}
+    return sorted(out)
+
+
+def test_a_passage_in_many_documents(spark):
+    rng = random.Random(4)
+    passage = " ".join("p%d" % k for k in range(120))
+    texts = [" ".join([*("x%d" % rng.randrange(10**6) for _ in range(rng.randint(0, 30))), passage, *("y%d" % rng.randrange(10**6) for _ in range(rng.randint(0, 30)))]) for _ in range(200)]
+    texts += [f"{passage} {passage}", passage, passage + " tail one", passage + " tail one"] + [f"{a} {passage} {b}" for a in "uv" for b in "st" for _ in range(20)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = [tuple(r) for r in sparse.passages(docs(spark, [t for _, t in rows], [i for i, _ in rows]), hot=50, by_source=True).collect()]
+    assert sorted(got) == by_source(rows, 50)
+
+
+def test_words_that_differ_are_never_equal(spark):
+    order = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = ("".join("ab"[x ^ f] for x in order) for f in (0, 1))
+    rest = " ".join("w%d" % k for k in range(49))
+    assert sparse.passages(docs(spark, [f"{rest} {one}", f"{rest} {two}"])).collect() == []
+
+
 def test_awkward_texts(spark):
     texts = awkward_texts(13) * 2
     got = [tuple(r) for r in sparse.passages(docs(spark, texts)).collect()]

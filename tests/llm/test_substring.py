@@ -91,10 +91,32 @@ def test_wavelet_matrix_ranks():
 def test_backward_search_counts():
     rng = np.random.default_rng(2)
     text = np.append(rng.integers(1, 4, 400), 0)
-    index = substring.FMIndex(text, 4, 6)
-    at = np.arange(0, 394)
-    live, lo, hi = index.repeats(at, 6)
-    plain = ["".join(map(str, text[a : a + 6])) for a in at]
-    whole = "".join(map(str, text))
-    count = {p: sum(whole.startswith(p, k) for k in range(len(whole))) for p in set(plain)}
-    assert {int(at[k]): int(h - x) for k, x, h in zip(live, lo, hi)} == {int(a): count[p] for a, p in zip(at, plain) if count[p] > 1}
+    order = rng.permutation(len(text))
+    index = substring.FMIndex(text, 4, 6, order)
+    at = np.arange(0, 395)
+    live, earliest = index.repeats(text, at)
+    plain = [tuple(text[a : a + 6]) for a in at]
+    places = {p: [a for a, q in zip(at, plain) if q == p] for p in set(plain)}
+    assert {int(at[k]): int(x) for k, x in zip(live, earliest)} == {int(a): int(order[places[p]].min()) for a, p in zip(at, plain) if len(places[p]) > 1}
+
+
+def test_words_that_differ_are_never_equal(spark):
+    """Two words of 1,024 letters in Thue-Morse order and its complement."""
+    order = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = ("".join("ab"[x ^ f] for x in order) for f in (0, 1))
+    rest = " ".join("w%d" % k for k in range(19))
+    got = substring.deduplicate(docs(spark, [f"{rest} {one}", f"{rest} {two}", f"{rest} {one}"])).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, 20]
+
+
+def test_a_passage_in_many_documents(spark):
+    """Split segments, combined copies and distinct surroundings."""
+    rng = random.Random(4)
+    passage = " ".join("p%d" % k for k in range(70))
+    texts = [" ".join([*("x%d" % rng.randrange(10**6) for _ in range(rng.randint(0, 30))), passage, *("y%d" % rng.randrange(10**6) for _ in range(rng.randint(0, 30)))]) for _ in range(300)]
+    texts += [f"{passage} {passage}", passage, passage + " tail one", passage + " tail one"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    rows += rows[:5] + [(None, texts[1])]
+    got = [tuple(r) for r in substring.deduplicate(docs(spark, [t for _, t in rows], [i for i, _ in rows]), hot=50).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 20), key=str)
