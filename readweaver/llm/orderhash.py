@@ -1,57 +1,75 @@
 """Near-duplicate classes by Order MinHash.
 
 A text's k-mers are its shingles of five words, each labelled with its
-occurrence number, so repeats count.  A sketch takes the `ell` labelled k-mers
+occurrence number, so repeats count.  A sketch takes the `ELL` labelled k-mers
 with the smallest hashes and keeps them in text order, so two texts share it
 only if they share those k-mers in the same order; the chance follows edit
-similarity.  Texts of fewer than five words have their whole word sequence as
-their only k-mer.
-
-Candidates come from texts with an equal sketch.  Exact copies are one text
-first.  Each sketch group is a star around its smallest member (a minimum that
-is combined before the shuffle), so its links grow with its size, not with its
-square.  Every text is aligned with its first candidate and classes are formed;
-then all other star links whose ends are not in one class are aligned and join
-classes, too.  Members of a group that are still in different classes are
-strangers to its centre or to each other.  Those texts are compared exactly: two
-texts that are near share one of the rarest words of each, as many as the edits
-that the threshold allows and one more, so all pairs with such a word, like
-lengths and different classes are aligned.  Texts of 40 words or fewer, whose
-shingles a single edit can spoil, are compared in the same way whatever their
-sketches, with each other and with all they can be near to.  Alignment is a unit-cost dynamic program over words,
-within the band that a distance of the threshold allows; similarity is
+similarity.  Every text of five words or more has `SKETCHES` of them.
+
+A single edit spoils five shingles, which is much of a short text.  So texts of
+10 to 96 words also have sketches of pairs of words, and texts of up to 14 words
+have a key for each sequence that is left when as many words are deleted as the
+threshold allows edits: two short texts within that distance have such a sequence
+in common.  Two texts of like length are both short or both long in this sense.
+
+Candidates are texts with an equal key.  Exact copies are one text first.  Keys
+that one text only has are dropped by a bit filter of bounded size before texts
+are dealt by key.  Each key's texts are a star around the smallest (a minimum
+that is combined before the shuffle), so its links grow with its size, not with
+its square.  Every text is aligned with its first candidate and classes are
+formed; then all other star links whose ends are not in one class are aligned.
+Keys whose texts are then in different classes, as those of a passage that
+strangers share, are split: by classes of length, in which two near texts are
+always together once, with a star around the smallest text and then one around
+the smallest that isn't of that one's class; and by sketches of the words that
+are outside the k-mers that strangers share.  What may stay apart are texts that
+are near by such a passage alone and unlike in nearly all other words.
+
+Alignment is a unit-cost dynamic program over words in a band around the
+diagonal, which is doubled until it holds the distance or is as wide as the
+threshold allows, so near texts cost their length times their distance.  Texts
+whose words or triples of words differ too much are told apart before, exactly:
+an edit changes one word and three triples at most.  Similarity is
 1 - distance / words of the longer text, and links need 0.8 or more.
 
 Classes are components of the links, by repeated minimum over neighbours with
 pointer jumping, on tables in the shared checkpoint folder; nothing but counts
-reaches the driver.
-
-Defined results: a null text is the empty text; texts without words are one class
-if equal; equal texts are in one class whatever their ids; repeated rows give a
-row each; a null doc_id stays null and counts as the largest; an empty table gives
-an empty table; other columns are ignored; texts of any length are sketched and
-aligned whole.  The class id is its smallest doc_id.
+and the bit filter reaches the driver.
+
+Defined results: a null text is the empty text; texts with the same words are in
+one class, so all texts without words are; repeated rows give a row each; a null
+doc_id stays null and counts as the largest; an empty table gives an empty table;
+other columns are ignored; texts of any length are sketched and aligned whole.
+The class id is its smallest doc_id.  Texts are known by 64-bit hashes: among
+10**10 different ones some three pairs would share one.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .anchors import LEAST_BITS, MOST_BITS, bit_filter, has
 from .common import durable, table
-from .textkit import gram_hashes, slices, splitmix, word_hashes, words
-
-SHINGLE, ELL, SKETCHES = 5, 2, 24
+from .textkit import gram_hashes, join, row_of, row_sums, slices, splitmix, utf8, word_hashes, words
+
+SHINGLE, ELL, SKETCHES = 5, 2, 80
+#: Texts of so many words have sketches of pairs of words, too: so many of them.
+PAIRED, PAIR_SKETCHES = (10, 96), 16
+#: Texts of up to so many words have a key for each sequence left by deletions.
+DELETED = 14
+#: Sketches of the words outside what strangers share: (words of a k-mer, number).
+OWN = ((1, 32), (2, 48))
 SIMILARITY = 0.8
 NULL_ID = (1 << 63) - 1
-#: Cells of the alignment matrix worked on at once.
-CELLS = 1 << 20
-#: Texts of so many words or fewer are compared exactly.
-SHORT = 40
-#: Buckets in which words are counted to find the rare ones.
-COUNTED = 1 << 18
+#: Cells of the alignment matrix worked on at once, and narrowest band.
+CELLS, NARROW = 1 << 14, 6
+#: Bytes of candidate pairs that are compared at once.
+COMPARED = 1 << 22
 
 
 def labelled(values: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -66,49 +84,119 @@ def labelled(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     return splitmix(values + number * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(data: np.ndarray, offs: np.ndarray, sketches: int = SKETCHES, ell: int = ELL, k: int = SHINGLE) -> np.ndarray:
-    """(rows x sketches) hashes of the ordered smallest labelled k-mers of each row."""
-    starts, ends, first = words(data, offs)
-    hashes = word_hashes(data, starts, ends)
+def _kmers(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labelled k-mers of all rows, row table of them)."""
     gram, ok = gram_hashes(hashes, first, k)
-    n = np.diff(first)
-    rows = len(n)
-    size = np.where(n >= k, n - k + 1, 1)
-    lo = np.concatenate([[0], np.cumsum(size)])
-    value = np.zeros(lo[-1], np.uint64)
-    long = n >= k
-    row = np.repeat(np.arange(rows), size)
-    value[long[row]] = gram[np.flatnonzero(ok)]
-    short = np.flatnonzero(~long)
-    for i in short.tolist():
-        h = int(n[i]) + 1
-        for w in hashes[first[i] : first[i + 1]].tolist():
-            h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-        value[lo[i]] = h
-    value = labelled(value, row)
-    out = np.empty((rows, sketches), np.uint64)
-    heads = lo[:-1]
-    at = np.arange(len(value))
+    size = np.maximum(np.diff(first) - k + 1, 0)
+    return labelled(gram[ok], np.repeat(np.arange(len(size)), size)), np.concatenate([[0], np.cumsum(size)])
+
+
+def sketch(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE, sketches: int = SKETCHES, ell: int = ELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that have a k-mer, rows x sketches hashes of their ordered smallest labelled k-mers, rows x sketches x ell first words of those or -1)."""
+    value, lo = _kmers(hashes, first, k)
+    rows = np.flatnonzero(np.diff(lo))
+    out, words_of = np.empty((len(rows), sketches), np.uint64), np.empty((len(rows), sketches, ell), np.int64)
+    if not len(rows):
+        return rows, out, words_of
+    heads = lo[rows]
+    place = (np.arange(len(value)) - np.repeat(heads, np.diff(lo)[rows])).astype(np.uint64)  # a text has fewer than 2**24 words
+    low, most = np.uint64((1 << 24) - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
+    h = np.empty_like(value)
     for s in range(sketches):
-        seed = splitmix(np.array([s + 1], np.uint64))[0]
-        h = (value ^ seed) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        picked = np.full((ell, rows), -1, np.int64)
+        np.multiply(value, splitmix(np.array([k << 32 | s], np.uint64))[0] | np.uint64(1), out=h)
+        np.bitwise_and(h, ~low, out=h)
+        np.bitwise_or(h, place, out=h)
+        picked = np.empty((ell, len(rows)), np.int64)
         for j in range(ell):
-            low = np.minimum.reduceat(h, heads)
-            hit = h == low[row]
-            p = np.full(rows, len(value), np.int64)
-            np.minimum.at(p, row[hit], at[hit])
-            p[low == np.uint64(0xFFFFFFFFFFFFFFFF)] = -1
-            picked[j] = p
-            h[p[p >= 0]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            least = np.minimum.reduceat(h, heads)
+            at = heads + (least & low).astype(np.int64)
+            picked[j] = np.where(least == most, -1, at)
+            h[at[least != most]] = most
         picked.sort(axis=0)
-        key = np.full(rows, s + 1, np.uint64)
-        for j in range(ell):
-            key = splitmix(key * np.uint64(3) + np.where(picked[j] >= 0, value[np.maximum(picked[j], 0)], np.uint64(7)))
+        key = np.full(len(rows), k << 32 | s, np.uint64)
+        for p in picked:
+            key = join(key, np.where(p >= 0, value[np.maximum(p, 0)], np.uint64(7)))
         out[:, s] = key
-    return out
+        words_of[:, s] = np.where(picked >= 0, picked - heads + first[rows], -1).T
+    return rows, out, words_of
+
+
+@lru_cache(maxsize=64)
+def _kept(n: int, deletions: int) -> list[np.ndarray]:
+    """Places left after 0 to `deletions` deletions from n words, a table for each number."""
+    left = [list(combinations(range(n), n - d)) for d in range(deletions + 1)]
+    return [np.array(x, np.int64).reshape(len(x), n - d) for d, x in enumerate(left)]
+
+
+def deletion_keys(hashes: np.ndarray, first: np.ndarray, similarity: float = SIMILARITY, most: int = DELETED) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the sequences left of texts of at most `most` words by as many deletions as edits are allowed between two such texts."""
+    size = np.diff(first)
+    rows, keys = [], []
+    for n in range(most + 1):
+        own = np.flatnonzero(size == n)
+        if not len(own):
+            continue
+        w = hashes[first[own][:, None] + np.arange(n)]
+        for kept in _kept(n, band(min(most, int(n / similarity + 1e-9)), 0, similarity)):
+            h = np.full((len(own), len(kept)), kept.shape[1] + 1, np.uint64)
+            for c in kept.T:
+                h = join(h, w[:, c])
+            rows.append(np.repeat(own, len(kept)))
+            keys.append(h.ravel())
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _sketches(hashes: np.ndarray, first: np.ndarray, sketches: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row, key, first words of its k-mers, k) of the sketches of shingles and, for texts that are not long, of pairs of words."""
+    n = np.diff(first)
+    some = (n >= PAIRED[0]) & (n <= PAIRED[1])
+    names, inside = np.flatnonzero(some), np.flatnonzero(np.repeat(some, n))
+    rows, keys, at = sketch(hashes, first, SHINGLE, sketches)
+    out = [(np.repeat(rows, sketches), keys.ravel(), at.reshape(-1, ELL), SHINGLE)]
+    rows, keys, at = sketch(hashes[inside], np.concatenate([[0], np.cumsum(n[some])]), 2, PAIR_SKETCHES)
+    at = np.where(at >= 0, np.append(inside, -1)[at], -1)
+    return [*out, (np.repeat(names[rows], PAIR_SKETCHES), keys.ravel(), at.reshape(-1, ELL), 2)]
+
+
+def _by_row(parts: list[tuple[np.ndarray, np.ndarray]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row table) of parts (row, key)."""
+    row, key = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    return key[order], np.searchsorted(row[order], np.arange(rows + 1))
+
+
+def all_keys(data: np.ndarray, offs: np.ndarray, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of all rows one after the other, row table of them, words of each row)."""
+    starts, ends, first = words(data, offs)
+    hashes = word_hashes(data, starts, ends)
+    parts = [deletion_keys(hashes, first, similarity), *(p[:2] for p in _sketches(hashes, first, sketches))]
+    return *_by_row(parts, len(offs) - 1), np.diff(first)
+
+
+def own_keys(data: np.ndarray, offs: np.ndarray, common: np.ndarray, common_first: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row table) of sketches of the words that aren't in the k-mers of the row's keys `common`, nor in fewer than five words between such."""
+    starts, ends, first = words(data, offs)
+    hashes = word_hashes(data, starts, ends)
+    shared = np.zeros(len(hashes) + 1, np.int64)
+    known = join(common, row_of(common_first).astype(np.uint64))
+    for row, key, at, k in _sketches(hashes, first, sketches):
+        at = at[np.isin(join(key, row.astype(np.uint64)), known)].ravel()
+        np.add.at(shared, at[at >= 0], 1)
+        np.add.at(shared, at[at >= 0] + k, -1)
+    own = np.cumsum(shared)[:-1] == 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+    row = row_of(first)
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if b - a < SHINGLE and a and b < len(own) and row[a - 1] == row[b]:
+            own[a:b] = False
+    left = np.concatenate([[0], np.cumsum(own)])[first]
+    parts = []
+    for k, n in OWN:
+        rows, keys, _ = sketch(hashes[own], left, k, n)
+        parts.append((np.repeat(rows, n), keys.ravel()))
+    return _by_row(parts, len(offs) - 1)
 
 
 def band(a: int, b: int, similarity: float = SIMILARITY) -> int:
@@ -116,32 +204,55 @@ def band(a: int, b: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * max(a, b) + 1e-9)
 
 
-def distances(left: list[np.ndarray], right: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """Edit distance over words of each pair, or -1 if it exceeds the pair's band; pairs of like band in step."""
-    out = np.full(len(left), -1, np.int64)
-    width = np.array([band(len(a), len(b), similarity) for a, b in zip(left, right)], np.int64)
-    todo = []
-    for i, (a, b) in enumerate(zip(left, right)):
-        if abs(len(a) - len(b)) > width[i]:
-            continue
-        if len(a) == len(b) and np.array_equal(a, b):
-            out[i] = 0
-            continue
-        # words without a partner each cost an edit
-        ua, ca = np.unique(a, return_counts=True)
-        ub, cb = np.unique(b, return_counts=True)
-        _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        if max(len(a), len(b)) - int(np.minimum(ca[x], cb[y]).sum()) <= width[i]:
-            todo.append(i)
-    todo.sort(key=lambda i: (width[i], len(left[i])))
-    at = 0
-    while at < len(todo):
-        end = at + 1
-        while end < len(todo) and (end + 1 - at) * (2 * width[todo[end]] + 1) <= CELLS // 64 and width[todo[end]] <= 1.3 * width[todo[at]] + 8:
-            end += 1
-        part = todo[at:end]
-        out[part] = _aligned([left[i] for i in part], [right[i] for i in part], width[part])
-        at = end
+def _shared(one: np.ndarray, one_first: np.ndarray, two: np.ndarray, two_first: np.ndarray) -> np.ndarray:
+    """Values that the left and the right row of each pair have in common, repeats counted."""
+    left, right = (join(labelled(v, row_of(f)), row_of(f).astype(np.uint64)) for v, f in ((one, one_first), (two, two_first)))
+    return row_sums(np.isin(left, right).astype(np.int64), one_first)
+
+
+def _grams(values: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    gram, ok = gram_hashes(values, first, n)
+    return gram[ok], np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - n + 1, 0))])
+
+
+def _some(values: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows picked, as values and row table."""
+    size = np.diff(first)[pick]
+    before = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(first[:-1][pick] - before[:-1], size) + np.arange(before[-1])], before
+
+
+def distances(left: np.ndarray, left_first: np.ndarray, right: np.ndarray, right_first: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Edit distance over words of each pair of rows (word hashes and row tables), or -1 if it exceeds the pair's band."""
+    la, lb = np.diff(left_first), np.diff(right_first)
+    longer = np.maximum(la, lb)
+    width = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    out = np.full(len(la), -1, np.int64)
+    live = np.flatnonzero(np.abs(la - lb) <= width)
+    least = np.abs(la - lb)
+    # an edit changes one word and at most n grams of n words
+    for n in (1, 3):
+        a, b = _some(left, left_first, live), _some(right, right_first, live)
+        missing = longer[live] - (n - 1) - _shared(*_grams(*a, n), *_grams(*b, n))
+        least[live] = np.maximum(least[live], -(-missing // n))
+        live = live[least[live] <= width[live]]
+    now = np.minimum(width[live], np.maximum(2 * least[live], NARROW))
+    while len(live):
+        order = np.lexsort((la[live], now))
+        live, now = live[order], now[order]
+        got = np.full(len(live), -1, np.int64)
+        at = 0
+        while at < len(live):
+            end = at + 1
+            while end < len(live) and (end + 1 - at) * (2 * now[end] + 1) <= CELLS and (end + 1 - at) * (la[live[end]] + 2 * now[end]) <= 16 * CELLS and now[end] <= 1.3 * now[at] + 2:
+                end += 1
+            part = live[at:end]
+            texts = [[v[f[i] : f[i + 1]] for i in part.tolist()] for v, f in ((left, left_first), (right, right_first))]
+            got[at:end] = _aligned(*texts, now[at:end])
+            at = end
+        out[live] = got
+        more = (got < 0) & (now < width[live])
+        live, now = live[more], np.minimum(width[live][more], 2 * now[more])
     return out
 
 
@@ -204,143 +315,151 @@ def components(links: DataFrame) -> DataFrame:
             return root
 
 
-def _words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(labelled word hashes, row of each, words of each row) of a slice of texts."""
-    starts, ends, first = words(data, offs)
-    n = np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
-    return labelled(word_hashes(data, starts, ends), row), row, n
-
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(did, t, text): t is a hash of the text."""
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("t"), body.alias("text"))
 
-def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all members (t, root, text) of different roots that may be within the similarity.
 
-    An edit spoils one word of the longer text at most, so a text of n words shares all but band(n, n) of its
-    words, repeats counted, with a near one; of the words in one order, rarest first, both have a shared one
-    among their first band + 1.  The order is the count of the word's bucket, then the word's hash.
-    """
+def stars(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
+    """(key, a, t, n) of the keys that several texts have: the smallest of them, each of them, and its number of words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTED, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in slices(batch.column(0)):
-                seen += np.bincount((_words_of(data, offs)[0] % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
+            for lo, hi, data, offs in slices(batch.column(1)):
+                keys, first, n = all_keys(data, offs, similarity, sketches)
+                t, own = np.unique(batch.column(0).to_numpy()[lo:hi], return_index=True)
+                keys, first = _some(keys, first, own)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n[own].astype(np.int32)), lists], ["t", "n", "keys"])
+
+    return _repeated(durable(rows.select("t", "text").mapInArrow(run, "t long, n int, keys array<long>")))
+
 
-    counted = members.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTED rows
-    often = np.zeros(COUNTED, np.int64)
-    often[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    frequency = members.sparkSession.sparkContext.broadcast(often)
+def _repeated(sketched: DataFrame) -> DataFrame:
+    """Stars of the keys in (t, n, keys)."""
+    again = durable(sketched.select("t", F.explode("keys").alias("g")).groupBy("g").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("g", "a", F.lit(2).alias("n")))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * again.count()).bit_length()))
+    seen = sketched.sparkSession.sparkContext.broadcast(bit_filter(again, 2, bits))
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in slices(batch.column(2)):
-                value, row, n = _words_of(data, offs)
-                order = np.lexsort((value, frequency.value[(value % np.uint64(COUNTED)).astype(np.int64)], row))
-                rank = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)  # rows stay in place
-                picked = np.flatnonzero(rank <= np.array([band(k, k, similarity) for k in n.tolist()], np.int64)[row])
-                own = pa.array(row[picked] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(n[row[picked]]), pa.array(value[order[picked]].view(np.int64))], ["t", "root", "n", "word"])
-
-    kind = "struct<h1:long,h2:long>"
-    rare = durable(members.select("t", "root", "text").mapInArrow(rarest, f"t {kind}, root {kind}, n long, word long"))
-    # words of one class only have no pair
-    mixed = rare.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("word")
-    rare = rare.join(mixed, "word", "left_semi")
-    one, two = (rare.select("word", F.col("t").alias(c), F.col("root").alias(f"{c}_root"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
-    like = F.least("a_n", "b_n") + 1e-6 >= similarity * F.greatest("a_n", "b_n")
-    return one.join(two, "word").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & like).select("a", "b").distinct()
-
-
-def _distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(did, h1, h2, text): a 128-bit hash of the text besides it."""
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1), body).alias("h2"), body.alias("text"))
+            lists = batch.column(2)
+            keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            ok = has(seen.value, keys.view(np.uint64))
+            own = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), batch.column(0).take(own), batch.column(1).take(own)], ["key", "t", "n"])
 
+    mine = sketched.select("t", "n", "keys").mapInArrow(shared, "key long, t long, n int")
+    return durable(mine.join(again.select(F.col("g").alias("key"), "a"), "key").select("key", "a", "t", "n").distinct())
 
-def _labelled(rows: DataFrame, similarity: float, sketches: int, ell: int) -> DataFrame:
-    """(h1, h2, did, root) of every different text: its smallest doc_id and its class's smallest text key."""
-    key = ["h1", "h2"]
-    # a text is known by the number h1; texts with the same h1 and another h2 are told apart by it
-    owner = durable(rows.groupBy(*key).agg(F.min("did").alias("did")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offs in slices(batch.column(2)):
-                keys = sketch(data, offs, sketches, ell).view(np.int64)
-                one, two = (batch.column(c).slice(a, b - a).to_numpy() for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(one, sketches)), pa.array(np.repeat(two, sketches)), pa.array(keys.ravel())], ["h1", "h2", "key"])
-
-    sketched = rows.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, key long")
-    node = F.struct("h1", "h2")
-    small = sketched.groupBy("key").agg(F.min(node).alias("a"), F.max(node).alias("z")).where("a <> z").select("key", "a")
-    pairs = sketched.join(small, "key").select("a", node.alias("b")).where("a <> b").distinct()
-    pairs = durable(pairs)
-    # short lists of words of the texts that have a candidate
-    member = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct().select("t.h1", "t.h2")
-    text_of = rows.join(member, key, "left_semi").dropDuplicates(key).select(node.alias("t"), "text")
+def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
+    """(t, root) of the texts that have a near one: the smallest text of its class."""
+    star = stars(rows, similarity, sketches)
+    pairs = star.where("a <> t").select("a", F.col("t").alias("b")).distinct()
+    member = star.select("t").unionByName(star.select(F.col("a").alias("t"))).distinct()
+    text_of = rows.join(member, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for c in (2, 3):
-                own: list[np.ndarray] = []
-                for _, _, data, offs in slices(batch.column(c)):
-                    s, e, first = words(data, offs)
-                    h = word_hashes(data, s, e)
-                    own += np.split(h, first[1:-1])
-                lists.append(own)
-            ok = pa.array(distances(*lists, similarity) >= 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    kind = "struct<h1:long,h2:long>"
-
-    def aligned(wanted: DataFrame, source: DataFrame = text_of) -> DataFrame:
-        with_texts = wanted.join(source.withColumnsRenamed({"t": "b", "text": "right"}), "b").join(source.withColumnsRenamed({"t": "a", "text": "left"}), "a")
-        return durable(with_texts.select("a", "b", "left", "right").mapInArrow(verify, f"a {kind}, b {kind}"))
+            size = sum(np.diff(utf8(batch.column(c))[1]) for c in (2, 3))
+            cuts = np.searchsorted(np.cumsum(size), np.arange(COMPARED, int(size.sum()) + COMPARED, COMPARED))
+            at = 0
+            for end in np.unique(np.minimum(cuts + 1, len(size))).tolist():
+                part = batch.slice(at, end - at)
+                at = end
+                sides = []
+                for c in (2, 3):
+                    hashes, counts = [], []
+                    for _, _, data, offs in slices(part.column(c)):
+                        s, e, first = words(data, offs)
+                        hashes.append(word_hashes(data, s, e))
+                        counts.append(np.diff(first))
+                    sides += [np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])]
+                ok = pa.array(distances(*sides, similarity) >= 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
+
+    def aligned(wanted: DataFrame) -> DataFrame:
+        with_texts = wanted.join(text_of.withColumnsRenamed({"t": "b", "text": "right"}), "b").join(text_of.withColumnsRenamed({"t": "a", "text": "left"}), "a")
+        return durable(with_texts.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+
+    def apart(wanted: DataFrame, label: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different classes."""
+        for c in ("a", "b"):
+            wanted = wanted.join(label.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left")
+        return durable(wanted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+
+    def mixed(group: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows (key, a, t, ...) of texts that aren't of their centre's class, of keys that have two such classes or more."""
+        rooted = group.join(label.select(F.col("node").alias("t"), "root"), "t", "left").join(label.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
+        left = rooted.withColumns({"root": F.coalesce("root", "t"), "a_root": F.coalesce("a_root", "a")}).where("root <> a_root")
+        many = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return left.join(many, "key", "left_semi").select(group.columns)
+
+    def shared_by_strangers(label: DataFrame) -> DataFrame:
+        """The rows of star of keys with texts of two classes or more."""
+        strange = star.join(label.select(F.col("node").alias("t"), "root"), "t", "left").groupBy("key").agg(F.min(F.coalesce("root", "t")).alias("lo"), F.max(F.coalesce("root", "t")).alias("hi"))
+        return star.join(strange.where("lo <> hi").select("key"), "key", "left_semi")
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(1)):
+                lists = batch.column(2).slice(lo, hi - lo)
+                common = lists.offsets.to_numpy().astype(np.int64)
+                keys, first = own_keys(data, offs, lists.flatten().to_numpy().view(np.uint64), common - common[0], sketches)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.nulls(hi - lo, pa.int32()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))], ["t", "n", "keys"])
 
     turn = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = aligned(turn)
     label = components(linked)
-    rest = pairs.join(turn, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        rest = rest.join(label.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left")
-    rest = durable(rest.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b"))
+    rest = apart(pairs.join(turn, ["a", "b"], "left_anti"), label)
     if rest.limit(1).count():
         linked = linked.unionByName(aligned(rest))
         label = components(linked)
-    # groups whose members are in different classes: all of them against each other
-    rooted = pairs.join(label.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
-    split = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    strangers = rooted.join(split, "a", "left_semi").select(F.col("b").alias("t"), "root").distinct()
-    # texts of few words and those they can be near to; at most one part before the first word and one after the last
-    most = int(SHORT / similarity + 1e-9) + 2
-    few = rows.where(F.size(F.split("text", r"[\x20\x09-\x0D]+", most + 1)) <= most).select(node.alias("t"), "text")
-    few = few.join(label.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "text")
-    members = durable(text_of.join(strangers, "t").select("t", "root", "text").unionByName(few).dropDuplicates(["t"]))
-    found = aligned(_rare_pairs(members, similarity), members.select("t", "text"))
-    if found.limit(1).count():
-        label = components(linked.unionByName(found))
-    return owner.withColumn("node", node).join(label, "node", "left").select(*key, "did", F.coalesce("root", "node").alias("root"))
-
-
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
+    # keys whose texts are in different classes, by classes of length: those of a text and of one a quarter longer are the same or next to each other
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    group = shared_by_strangers(label).withColumn("key", F.explode(F.transform(F.array(step, step + 1), lambda c: F.xxhash64("key", c)))).select("key", "t")
+    for _ in range(2):
+        group = durable(group.join(group.groupBy("key").agg(F.min("t").alias("a")), "key"))
+        wanted = apart(group.where("a <> t").select("a", F.col("t").alias("b")).distinct(), label)
+        if wanted.limit(1).count():
+            linked = linked.unionByName(aligned(wanted))
+            label = components(linked)
+        # those that aren't of the centre's class have another one
+        group = mixed(group, label).select("key", "t")
+    # what strangers share set aside; a text has some 200 keys at most
+    common = shared_by_strangers(label).groupBy("t").agg(F.collect_set("key").alias("common"))
+    own = _repeated(durable(text_of.join(common, "t").select("t", "text", "common").mapInArrow(outside, "t long, n int, keys array<long>")))
+    wanted = apart(own.where("a <> t").select("a", F.col("t").alias("b")).distinct(), label)
+    if wanted.limit(1).count():
+        label = components(linked.unionByName(aligned(wanted)))
+    return label.withColumnRenamed("node", "t")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """(doc_id, class_id) of every row: near-duplicate classes by edit similarity over words."""
-    rows = _distinct_texts(docs, doc_id, text)
-    found = durable(_labelled(rows, similarity, sketches, ell))
-    class_id = found.groupBy("root").agg(F.min("did").alias("class_id")).join(found.select("root", "h1", "h2"), "root").select("h1", "h2", "class_id")
+    rows = _texts(docs, doc_id, text)
+    class_of = _classes(rows, similarity, sketches).select("t", F.col("first.did").alias("class_id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return rows.select("did", "h1", "h2").join(class_id, ["h1", "h2"]).select(real("did").alias("doc_id"), real("class_id").alias("class_id"))
+    return rows.select("did", "t").join(class_of, "t").select(real("did").alias("doc_id"), real("class_id").alias("class_id"))
+
+
+def _classes(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
+    """(t, first) of every different text: the smallest (did, t) of its class."""
+    label = _labelled(rows, similarity, sketches)
+    owner = rows.groupBy("t").agg(F.min("did").alias("did"))
+    own = durable(owner.join(label, "t", "left").select("t", "did", F.coalesce("root", "t").alias("root")))
+    first = own.groupBy("root").agg(F.min("did").alias("did")).join(own.select("root", "did", "t"), ["root", "did"]).groupBy("root").agg(F.min("t").alias("t"), F.min("did").alias("did"))
+    return own.select("t", "root").join(first.select("root", F.struct("did", "t").alias("first")), "root").select("t", "first")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """One whole row of docs for each class: that of the smallest doc_id (then text key); of repeated rows any one."""
-    found = _labelled(_distinct_texts(docs, doc_id, text), similarity, sketches, ell)
-    chosen = found.groupBy("root").agg(F.min(F.struct("did", "h1", "h2")).alias("first")).select("first.*")
+    chosen = _classes(_texts(docs, doc_id, text), similarity, sketches).where("t = first.t").select("first.*")
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1), body).alias("h2"))
-    return whole.join(chosen, ["did", "h1", "h2"], "left_semi").dropDuplicates(["did", "h1", "h2"]).select("row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("t"))
+    return whole.join(chosen, ["did", "t"], "left_semi").dropDuplicates(["did", "t"]).select("row.*")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
