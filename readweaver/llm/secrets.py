@@ -8,6 +8,10 @@ over its character pairs of the log-likelihood ratio.  Runs whose mean ratio per
 pair exceeds a fixed threshold are added.  Characters of base spans count as
 gaps, so the parts of a run around a base span are scored on their own.
 
+Time follows the length of the text and the number of spans m as m ** 1.5 at most:
+prefix sums and cuts go by blocks of the square root of m, and a run's characters
+are taken apart once.
+
 The models are counts of character pairs in labelled samples, at most 65 * 65
 numbers, smoothed and made into one literal array; the default samples are made
 by a rule (digests of numbers; joined common words).
@@ -81,58 +85,102 @@ def _none() -> Column:
     return F.expr(f"cast(array() as {SPAN})")
 
 
-def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of the pattern's matches whose group has `least` characters or more."""
+def _let(value: Column, body) -> Column:
+    """body(value), the value worked out once; in a lambda a plain expression would be for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(rows: Column) -> Column:
+    """The array, a bound one, cut into arrays of about the square root of its size."""
+
+    def cut(width: Column) -> Column:
+        count = F.ceil(F.size(rows) / width).cast("int")
+        return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda b: F.slice(rows, b * width + 1, width))
+
+    return _let(F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(rows))).cast("int")), cut)
+
+
+def _before(values: Column, combine) -> Column:
+    """What `combine` makes of the numbers before each, from 0 on; it is associative."""
+
+    def scan(row: Column, zero: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(row, start, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def whole(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), combine))
+        return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
+
+    return _let(values, lambda v: _let(_blocks(v), whole))
+
+
+def _matches(text: Column, pattern: str, group: int, offset: Column) -> Column:
+    """(start, end, size of the group, whole match) of the pattern's matches, the start counted from offset."""
     p = F.lit(pattern)
-    whole, own = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    sizes = F.zip_with(whole, own, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
-    rows = F.zip_with(sizes, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), lambda s, gap: F.struct(F.length(gap).alias("gap"), s["m"].alias("m"), s["g"].alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["m"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["g"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def sized(whole: Column) -> Column:
+        own = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        both = F.zip_with(whole, own, lambda m, g: F.struct(m.alias("m"), F.length(m).alias("size"), F.length(g).alias("g")))
+        return F.zip_with(both, gaps, lambda x, gap: F.struct(F.length(gap).alias("gap"), x["m"].alias("m"), x["size"].alias("size"), x["g"].alias("g")))
+
+    def placed(x: Column, at: Column) -> Column:
+        start = offset + at + x["gap"]
+        return F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["g"].alias("g"), x["m"].alias("m"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
+    found = _let(F.regexp_extract_all(text, p, F.lit(0)), sized)
+    return _let(found, lambda f: F.zip_with(f, _before(F.transform(f, lambda x: x["gap"] + x["size"]), lambda x, y: x + y), placed))
+
+
+def _span(x: Column, kind: str, rank: int) -> Column:
+    return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+
+
+def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+    """Spans of the pattern's matches whose group has `least` characters or more."""
+    found = F.transform(F.filter(_matches(text, pattern, group, F.lit(0)), lambda x: x["g"] >= least), lambda x: _span(x, kind, rank))
     return F.when(text.rlike(pattern if kind == "assign" else pattern.removesuffix("+") + f"{{{least - (4 if kind == 'access' else 0)},}}"), found).otherwise(_none())
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with each character of the spans, which are in order, replaced by a space."""
+def _cuts(text: Column, spans: Column) -> Column:
+    """(a, b) of the stretches outside the spans, which are in order: one before each span that starts after the others' ends, and one after all."""
+
+    def outside(ends: Column) -> Column:
+        between = F.filter(F.zip_with(spans, _before(ends, lambda x, y: F.greatest(x, y)), lambda s, r: F.struct(r.alias("a"), s["start"].alias("b"))), lambda c: c["a"] <= c["b"])
+        return F.concat(between, F.array(F.struct(F.coalesce(F.array_max(ends), F.lit(0)).alias("a"), F.length(text).alias("b"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(acc["at"], s["start"])
-        end = F.greatest(start, s["end"])
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
-        return F.struct(end.alias("at"), out.alias("out"))
+    return _let(F.transform(spans, lambda s: s["end"]), outside)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
+def _pieces(text: Column, cuts: Column) -> Column:
+    """The text's characters from a to b of each cut."""
 
-def _random_spans(text: Column, ratios: list[float]) -> Column:
-    """Spans of the random runs of a text without its base spans."""
+    def block(part: Column) -> Column:
+        first = F.element_at(part, 1)["a"]
+        return F.struct(part.alias("part"), first.alias("first"), F.substring(text, first + 1, F.element_at(part, -1)["b"] - first).alias("own"))
+
+    return _let(cuts, lambda cut: F.flatten(F.transform(F.transform(_blocks(cut), block), lambda x: F.transform(x["part"], lambda c: F.substring(x["own"], c["a"] - x["first"] + 1, c["b"] - c["a"])))))
+
+
+def _random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
+    """Spans of the random runs of a text outside its base spans."""
     k = len(ALPHABET)
     table_ = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")  # folded to a literal when planned
-    start = F.regexp_extract_all(text, F.lit(RANDOM_RUN), F.lit(0))
-    rows = F.zip_with(start, F.slice(F.split(text, RANDOM_RUN, -1), F.lit(1), F.size(start)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-
-    def code(s: Column, i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1))) - 1
+    codes = F.split(F.lit(",".join(str(ALPHABET.find(chr(i))) for i in range(128))), ",").cast("array<int>")
 
     def mean(s: Column) -> Column:
-        last = F.length(s) - 1
-        return F.aggregate(F.sequence(F.lit(1), last), F.lit(0.0), lambda acc, i: acc + F.get(table_, code(s, i) * k + code(s, i + 1))) / last
+        def step(acc: Column, c: Column) -> Column:
+            code = F.get(codes, F.ascii(c))
+            return F.struct(code.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(table_, acc["last"] * k + code))).alias("sum"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        span = F.struct(a.alias("start"), F.lit(len(PATTERNS)).alias("rank"), b.alias("end"), F.lit("random").alias("kind"))
-        return F.struct(b.alias("at"), F.when(mean(x["m"]) >= THRESHOLD, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(F.split(s, ""), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"]) / (F.length(s) - 1)
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(RANDOM_RUN), found).otherwise(_none())
+    def runs(piece: Column, at: Column) -> Column:
+        found = F.filter(_matches(piece, RANDOM_RUN, 0, at), lambda x: mean(x["m"]) >= THRESHOLD)
+        return F.when(piece.rlike(RANDOM_RUN), F.transform(found, lambda x: _span(x, "random", len(PATTERNS)))).otherwise(_none())
+
+    outside = _let(_cuts(text, base), lambda cuts: F.flatten(F.zip_with(_pieces(text, cuts), cuts, lambda piece, c: runs(piece, c["a"]))))
+    return F.when(~text.rlike(RANDOM_RUN), _none()).when(F.size(base) == 0, runs(text, F.lit(0))).otherwise(outside)
 
 
 def scan(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
@@ -140,21 +188,13 @@ def scan(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = (), text:
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(*keep, body.alias("secret_text"), *(_spans(body, k, i, p, g, n).alias(f"secret_{k}") for i, (k, p, g, n) in enumerate(PATTERNS)))
     found = found.select(*keep, "secret_text", F.array_sort(F.concat(*(F.col(f"secret_{k}") for k, *_ in PATTERNS))).alias("secret_base"))
-    found = found.select("*", _blanked(F.col("secret_text"), F.col("secret_base")).alias("secret_rest"))
-    found = found.select("*", _random_spans(F.col("secret_rest"), ratios).alias("secret_added"))
+    found = found.select("*", _random_spans(F.col("secret_text"), F.col("secret_base"), ratios).alias("secret_added"))
     return found.select(*keep, "secret_text", "secret_base", F.array_sort(F.concat("secret_base", "secret_added")).alias("secret_spans"))
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with each span, overlapping ones as one, replaced by the mask."""
-
-    def step(acc: Column, s: Column) -> Column:
-        skip = s["start"] < acc["at"]
-        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(grown).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(_pieces(text, _cuts(text, spans)), mask))
 
 
 def listed(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,33 @@ def test_random_rest_beside_a_base_span(spark):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets.scan(two(docs(spark, texts)), ratios, ("doc_id",)).collect()}
     assert got[0] == [("access", 0, 20), ("random", 20, 61)]
     assert got[1] == [("random", 2, 43), ("hex", 43, 59), ("random", 59, 100)]
+
+
+def test_time_follows_the_length(spark):
+    """One run of a million characters, and 50,000 spans."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    run = "".join(rng.choices(letters, k=1_000_000))
+    many = " ".join("é%032x" % rng.getrandbits(128) for _ in range(50_000))
+    ratios = secrets.train(secrets.default_samples(spark))
+    table = docs(spark, [run, many]).withColumn("text", F.col("text"))
+    start = time.time()
+    found = secrets.scan(two(table), ratios, ("doc_id",)).withColumn("clean", secrets.redact(F.col("secret_text"), F.col("secret_spans")))
+    got = {r.doc_id: r for r in found.collect()}
+    assert time.time() - start < 90
+    assert [tuple(s) for s in got[1].secret_base] == base(many) and got[1].clean == " ".join(["é[SECRET]"] * 50_000)
+    assert [tuple(s) for s in got[0].secret_base] == base(run) and got[0].clean.count("[SECRET]") >= 1 and len(got[0].clean) < 1000
+
+
+def test_precision_and_recall_of_the_added_spans(spark):
+    """Held-out strings by other generators than the samples': random ones in base 64, base 36 and with signs; identifiers, paths and German compounds."""
+    rng = random.Random(41)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hot = ["".join(rng.choices(a, k=rng.randint(20, 60))) for a in (letters, letters[:26] + letters[52:], letters + "+/_-") for _ in range(150)]
+    parts = "river stone meadow winter garden letter morning paper bridge window Strassen Bahn Gesellschaft Verordnung rapporto sviluppo informazione desarrollo ciudad sistema".split()
+    cold = [rng.choice("_-/").join(rng.choices(parts, k=5)) for _ in range(200)] + ["".join(w.title() for w in rng.choices(parts, k=5)) for _ in range(200)]
+    texts = ["see %s here" % t for t in hot + cold]
+    found = {r.doc_id: any(s.kind == "random" for s in r.secret_spans) for r in secrets.scan(two(docs(spark, texts)), secrets.train(secrets.default_samples(spark)), ("doc_id",)).collect()}
+    right = sum(found[i] for i in range(len(hot)))
+    wrong = sum(found[i] for i in range(len(hot), len(texts)))
+    assert right >= 0.95 * len(hot) and wrong <= 0.03 * len(cold), (right, len(hot), wrong, len(cold))
