@@ -4,13 +4,15 @@ A document is the set of its lower-cased tokens and of their first 3 to 6
 bytes, hashed to 2**20 buckets.  From a bounded sample of labelled documents
 the buckets with the largest class contrast are selected, and a logistic
 regression on their presence is fitted with a penalty on score changes: every
-labelled text with identity terms is paired with the same text after each term
-is swapped for the next of its group, and the squared difference of the two
-scores is added to the loss.  Terms that name a group thus get weights that
-cancel, and neutral mentions aren't taken for abuse.
-
-Bounds, both documented parameters: `per_class` sampled documents of each
-class (the driver holds their bucket numbers only), `keep` selected buckets.
+sentence of a labelled text that has an identity term is paired with the same
+sentence after the term is swapped for the next of its group, one term at a time,
+and the squared difference of the two margins is added to the loss.  The terms are
+given in English, German, French and Spanish.  Those that name a group thus get
+weights that hardly differ, and neutral mentions aren't taken for abuse.
+
+Bounds, documented parameters: `per_class` sampled documents of each class (the
+driver holds their bucket numbers only), `keep` selected buckets, `changes_kept`
+kinds of swap.
 Scoring is one pass over whole texts in Arrow batches.
 
 Defined results: a null or empty text has no features and gets the prior's
@@ -40,7 +42,14 @@ IDENTITY_GROUPS = (
     ("black", "white", "asian", "latino", "arab"), ("african", "european", "american", "mexican", "chinese", "indian"),
     ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"), ("immigrants", "natives"), ("immigrant", "native"),
     ("disabled", "blind", "deaf"), ("old", "young"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("muslime", "christen", "juden", "hindus"), ("muslim", "christ", "jude"),
+    ("schwarze", "weiße"), ("schwule", "lesben"), ("ausländer", "inländer"), ("türken", "polen", "deutsche"), ("behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs"), ("musulman", "chrétien", "juif"),
+    ("noirs", "blancs"), ("gays", "lesbiennes"), ("étrangers", "français"), ("immigrés", "natifs"), ("handicapés", "aveugles", "sourds"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("chicas", "chicos"), ("musulmanes", "cristianos", "judíos"), ("musulmán", "cristiano", "judío"),
+    ("negros", "blancos"), ("homosexuales", "heterosexuales"), ("extranjeros", "españoles"), ("inmigrantes", "nativos"), ("discapacitados", "ciegos", "sordos"),
 )
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 _GAP = np.ones(256, bool)
 _GAP[np.r_[48:58, 97:123, 65:91, 128:256, 39]] = False
@@ -48,11 +57,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def swap_terms(groups=IDENTITY_GROUPS):
-    """A function text -> text with every identity term replaced by the next of its group."""
-    to = {w: g[(i + 1) % len(g)] for g in groups for i, w in enumerate(g)}
+def swaps(groups=IDENTITY_GROUPS):
+    """A function sentence -> that sentence with one of its identity terms replaced by the next of its group, for each different term in it."""
+    to = {w: g[(i + 1) % len(g)] for g in reversed(groups) for i, w in enumerate(g)}
     pattern = re.compile(r"\b(" + "|".join(sorted(to, key=len, reverse=True)) + r")\b", re.IGNORECASE) if to else None
-    return (lambda text: pattern.sub(lambda m: to[m[0].lower()], text)) if pattern else (lambda text: text)
+
+    def run(sentence: str) -> list[str]:
+        found = sorted({m.lower() for m in pattern.findall(sentence)} & to.keys()) if pattern else []
+        return [pattern.sub(lambda m, w=w: to[w] if m[0].lower() == w else m[0], sentence) for w in found]
+
+    return run
 
 
 def bucket_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,25 +87,37 @@ def bucket_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // BUCKETS, key % BUCKETS
 
 
-def train(sample: DataFrame, prior: float, keep: int = 512, l2: float = 1e-4, counterfactual: float = 4.0, groups=IDENTITY_GROUPS, steps: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
+def train(sample: DataFrame, prior: float, keep: int = 512, l2: float = 1e-4, counterfactual: float = 4.0, groups=IDENTITY_GROUPS, steps: int = 500, changes_kept: int = 2000) -> tuple[np.ndarray, np.ndarray, float]:
     """(selected buckets, weights, bias) from (doc_id, label, text) rows; prior is the share of label 1 among all labelled rows."""
-    swap = swap_terms(groups)
+    swap = swaps(groups)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in slices(batch.column(2)):
-                raw = [data[s:e].tobytes().decode() for s, e in zip(offs[:-1], offs[1:])]
-                other = [swap(t) for t in raw]
-                out = []
-                for column in (None, other):
-                    d, o = (data, offs) if column is None else _joined(column)
-                    r, k = bucket_sets(d, o)
-                    cut = np.searchsorted(r, np.arange(b - a + 1))
-                    out.append([k[x:y].astype("<i4").tobytes() for x, y in zip(cut[:-1], cut[1:])])
-                pair = [y if t != u else None for y, t, u in zip(out[1], raw, other)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out[0], pa.binary()), pa.array(pair, pa.binary())], ["doc_id", "label", "own", "other"])
-
-    got = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text").dropDuplicates(["text", "label"]).mapInArrow(features, "doc_id long, label int, own binary, other binary").collect()  # at most 2 * per_class rows
+                r, k = bucket_sets(data, offs)
+                cut = np.searchsorted(r, np.arange(b - a + 1))
+                own = [k[x:y].astype("<i4").tobytes() for x, y in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(own, pa.binary())], ["doc_id", "label", "own"])
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(buckets that go, buckets that come) of every swap in a sentence."""
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column(0)):
+                pairs = [(x, y) for s, e in zip(offs[:-1], offs[1:]) for x in _SENTENCE.split(data[s:e].tobytes().decode()) for y in swap(x)]
+                if pairs:
+                    sets = []
+                    for side in zip(*pairs):
+                        r, k = bucket_sets(*_joined(side))
+                        sets.append(r * BUCKETS + k)
+                    gone, new = np.setdiff1d(*sets, assume_unique=True), np.setdiff1d(*sets[::-1], assume_unique=True)
+                    cuts = [np.searchsorted(x, np.arange(len(pairs) + 1) * BUCKETS) for x in (gone, new)]
+                    columns = [[(x[i:j] % BUCKETS).astype("<i4").tobytes() for i, j in zip(c[:-1], c[1:])] for x, c in zip((gone, new), cuts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["gone", "new"])
+
+    texts_ = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text").dropDuplicates(["text", "label"])
+    got = texts_.mapInArrow(features, "doc_id long, label int, own binary").collect()  # at most 2 * per_class rows
+    # the commonest kinds of change; a kind is a term, its counterpart and which of their prefixes the sentence has elsewhere
+    kinds = texts_.select("text").mapInArrow(changes, "gone binary, new binary").groupBy("gone", "new").count().orderBy(F.desc("count"), "gone", "new").limit(changes_kept).collect()
     got.sort(key=lambda r: r.doc_id)
     y = np.array([r.label for r in got], np.float64)
     bias = float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
@@ -115,22 +141,22 @@ def train(sample: DataFrame, prior: float, keep: int = 512, l2: float = 1e-4, co
         return out
 
     x = dense(own)
-    pairs = [i for i, r in enumerate(got) if r.other is not None]
-    gap = x[pairs] - dense([np.frombuffer(got[i].other, "<i4") for i in pairs]) if pairs else np.zeros((0, len(chosen)))
+    gap = dense([np.frombuffer(r.gone, "<i4") for r in kinds]) - dense([np.frombuffer(r.new, "<i4") for r in kinds])
+    share = np.array([r["count"] for r in kinds], np.float64) / max(1, sum(r["count"] for r in kinds))
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         r = weight * (sigmoid(x @ w[:-1] + w[-1]) - y)
         g = np.append(x.T @ r + l2 * w[:-1], r.sum())
         if len(gap):
-            g[:-1] += counterfactual * gap.T @ (gap @ w[:-1]) / len(gap)
+            g[:-1] += counterfactual * gap.T @ (share * (gap @ w[:-1]))
         return g
 
     w = adam(gradient, np.zeros(len(chosen) + 1), steps, 0.05)
     return chosen, w[:-1], float(w[-1]) + bias
 
 
-def _joined(column: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(column) -> tuple[np.ndarray, np.ndarray]:
     parts = [t.encode() for t in column]
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 

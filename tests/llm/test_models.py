@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from readweaver.llm import quality, toxicity
 from readweaver.llm.common import labelled_sample
+from readweaver.llm.textkit import range_hashes
 from tests.llm.fixtures import awkward_texts, docs, empty
 
 
@@ -105,3 +107,55 @@ def test_one_class_none_and_awkward_texts(spark, module):
     assert toxicity.score(empty(spark), toxicity.fit(empty(spark), none)).collect() == []
     rows = toxicity.score(d, toxicity.fit(d, none)).collect()
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+NEUTRAL = {
+    "en": ("the {} met at the market and talked about the weather", ("muslims", "christians", "jews", "hindus")),
+    "de": ("die {} trafen sich am Markt und sprachen über das Wetter", ("muslime", "christen", "juden", "hindus")),
+    "fr": ("les {} se sont retrouvés au marché et ont parlé du temps", ("musulmans", "chrétiens", "juifs")),
+    "es": ("los {} se reunieron en el mercado y hablaron del tiempo", ("musulmanes", "cristianos", "judíos")),
+}
+
+
+def test_neutral_mentions_of_groups_in_four_languages(spark):
+    """Abuse in the labelled rows names one group of each language far more often than the others: neutral sentences about it aren't rejected."""
+    rng = random.Random(12)
+    rows = []
+    for lang, (frame, terms) in NEUTRAL.items():
+        for i in range(240):
+            bad = i % 2 == 0
+            term = terms[0] if rng.random() < (0.9 if bad else 0.1) else rng.choice(terms[1:])
+            words = frame.format(term).split()
+            rng.shuffle(words)
+            rows.append((len(rows), int(bad), " ".join(words + ["wretchling scumbag"] * (bad and rng.random() < 0.7))))
+    sample = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    probe = [frame.format(t) for frame, terms in NEUTRAL.values() for t in terms]
+    rejected = {}
+    for penalty in (0.0, 20.0):
+        model = toxicity.train(sample, 0.5, counterfactual=penalty)
+        rejected[penalty] = sum(r.score >= 0.5 for r in toxicity.score(docs(spark, probe), model).collect())
+        abuse = [r.score for r in toxicity.score(docs(spark, [p + " wretchling scumbag" for p in probe]), model).collect()]
+        assert sum(s >= 0.5 for s in abuse) >= 0.9 * len(abuse)
+    assert rejected[0.0] >= 4 and rejected[20.0] == 0, rejected
+
+
+def test_scores_against_plain_arithmetic(spark):
+    """The score is the sigmoid of the bias and the weights of the distinct tokens and prefixes that the model has."""
+    import math
+
+    d, labels, rows, _ = labelled(spark, 200)
+    model = toxicity.fit(d, labels, per_class=60)
+    weight = dict(zip(model[0].tolist(), model[1].tolist()))
+    texts = rows[:40] + awkward_texts(5)
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        tokens = {x for x in re.findall(rb"[0-9A-Za-z\x80-\xff']+", (t or "").encode())}
+        tokens = {x.lower() if x.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in tokens}
+        found = set()
+        for token in tokens:
+            for k in (0, *toxicity.PREFIXES):
+                if k < len(token) or not k:
+                    part = np.frombuffer(token[:k] if k else token, np.uint8)
+                    found.add(int(range_hashes(part, np.array([0]), np.array([len(part)]), k)[0]) % toxicity.BUCKETS)
+        z = model[2] + sum(weight.get(b, 0.0) for b in found)
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4, t
