@@ -154,6 +154,14 @@ def encode_media(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
     return texts(docs).mapInArrow(run, SCHEMA)
 
 
+def _parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of some `most` bytes of media; PCM takes four times as much."""
+    turn = np.cumsum([len(x.as_buffer()) for x in batch.column(2)]) // most
+    cuts = np.flatnonzero(np.diff(turn, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def decode_media(media: DataFrame, to_rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, pcm]).
 
@@ -165,7 +173,7 @@ def decode_media(media: DataFrame, to_rate: int = 16000, keep_pcm: bool = True)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             out: list[list] = [[] for _ in range(7 + keep_pcm)]
             loads, blocks = [], []
             for stored in batch.column(2):
