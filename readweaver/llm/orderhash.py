@@ -16,14 +16,15 @@ Candidates are texts with an equal key.  Exact copies are one text first.  Keys
 that one text only has are dropped by a bit filter of bounded size before texts
 are dealt by key.  Each key's texts are a star around the smallest (a minimum
 that is combined before the shuffle), so its links grow with its size, not with
-its square.  Every text is aligned with its first candidate and classes are
-formed; then all other star links whose ends are not in one class are aligned.
-Keys whose texts are then in different classes, as those of a passage that
-strangers share, are split: by classes of length, in which two near texts are
-always together once, with a star around the smallest text and then one around
-the smallest that isn't of that one's class; and by sketches of the words that
-are outside the k-mers that strangers share.  What may stay apart are texts that
-are near by such a passage alone and unlike in nearly all other words.
+its square.  Pairs whose lengths alone tell them apart go at once.  Every text is
+aligned with its first candidate; then all other star links are, whose ends don't
+have one centre by that.  Keys whose texts are then in different classes, as those
+of a passage that strangers share, are split: by classes of length, in which two
+near texts are always together once (for the `BY_LENGTH` keys of a text with the
+smallest hashes, which texts that share a passage have in common); and by sketches
+of the words outside the k-mers that strangers share, two of which candidates have
+in common.  What may stay apart are texts that are near by such a passage alone and
+unlike in nearly all other words.
 
 Alignment is a unit-cost dynamic program over words in a band around the
 diagonal, which is doubled until it holds the distance or is as wide as the
@@ -64,6 +65,7 @@ PAIRED, PAIR_SKETCHES = (10, 96), 16
 DELETED = 14
 #: Sketches of the words outside what strangers share: (words of a k-mer, number).
 OWN = ((1, 32), (2, 48))
+BY_LENGTH = 8
 SIMILARITY = 0.8
 NULL_ID = (1 << 63) - 1
 #: Cells of the alignment matrix worked on at once, and narrowest band.
@@ -322,7 +324,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def stars(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
-    """(key, a, t, n) of the keys that several texts have: the smallest of them, each of them, and its number of words."""
+    """(key, a, an, t, n) of the keys that several texts have: the smallest of them and each of them, with their numbers of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,15 +353,19 @@ def _repeated(sketched: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), batch.column(0).take(own), batch.column(1).take(own)], ["key", "t", "n"])
 
     mine = sketched.select("t", "n", "keys").mapInArrow(shared, "key long, t long, n int")
-    return durable(mine.join(again.select(F.col("g").alias("key"), "a"), "key").select("key", "a", "t", "n").distinct())
+    mine = mine.join(again.select(F.col("g").alias("key"), "a"), "key").distinct()
+    return durable(mine.join(mine.where("a = t").select("key", F.col("n").alias("an")), "key"))
 
 
 def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     """(t, root) of the texts that have a near one: the smallest text of its class."""
     star = stars(rows, similarity, sketches)
-    pairs = star.where("a <> t").select("a", F.col("t").alias("b")).distinct()
-    member = star.select("t").unionByName(star.select(F.col("a").alias("t"))).distinct()
-    text_of = rows.join(member, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
+    text_of = durable(rows.select("t", "text").join(star.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]))
+
+    def candidates(star: DataFrame, least: int = 1) -> DataFrame:
+        """The different star links whose ends have `least` keys and may be near by their lengths."""
+        like = F.least("n", "an") + 1e-6 >= similarity * F.greatest("n", "an")
+        return star.where((F.col("a") < F.col("t")) & like).groupBy("a", F.col("t").alias("b")).count().where(F.col("count") >= least).select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,50 +396,36 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
             wanted = wanted.join(label.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left")
         return durable(wanted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
 
-    def mixed(group: DataFrame, label: DataFrame) -> DataFrame:
-        """The rows (key, a, t, ...) of texts that aren't of their centre's class, of keys that have two such classes or more."""
-        rooted = group.join(label.select(F.col("node").alias("t"), "root"), "t", "left").join(label.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
-        left = rooted.withColumns({"root": F.coalesce("root", "t"), "a_root": F.coalesce("a_root", "a")}).where("root <> a_root")
-        many = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return left.join(many, "key", "left_semi").select(group.columns)
-
-    def shared_by_strangers(label: DataFrame) -> DataFrame:
-        """The rows of star of keys with texts of two classes or more."""
-        strange = star.join(label.select(F.col("node").alias("t"), "root"), "t", "left").groupBy("key").agg(F.min(F.coalesce("root", "t")).alias("lo"), F.max(F.coalesce("root", "t")).alias("hi"))
-        return star.join(strange.where("lo <> hi").select("key"), "key", "left_semi")
-
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
-                lists = batch.column(2).slice(lo, hi - lo)
+            for lo, hi, data, offs in slices(batch.column(2)):
+                lists = batch.column(3).slice(lo, hi - lo)
                 common = lists.offsets.to_numpy().astype(np.int64)
                 keys, first = own_keys(data, offs, lists.flatten().to_numpy().view(np.uint64), common - common[0], sketches)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.nulls(hi - lo, pa.int32()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))], ["t", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))], ["t", "n", "keys"])
 
+    pairs = candidates(star)
     turn = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = aligned(turn)
-    label = components(linked)
-    rest = apart(pairs.join(turn, ["a", "b"], "left_anti"), label)
+    rest = apart(pairs.join(turn, ["a", "b"], "left_anti"), linked.select(F.col("b").alias("node"), F.col("a").alias("root")))
     if rest.limit(1).count():
         linked = linked.unionByName(aligned(rest))
-        label = components(linked)
-    # keys whose texts are in different classes, by classes of length: those of a text and of one a quarter longer are the same or next to each other
+    label = components(linked)
+    # the texts of keys with several classes, and those keys; a text has some 200 keys at most
+    rooted = star.join(label.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
+    strange = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = durable(rooted.join(strange, "key", "left_semi").groupBy("t", "n").agg(F.collect_set("key").alias("common")))
+    # a text's class of length and that of one a quarter longer are the same or next to each other
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    group = shared_by_strangers(label).withColumn("key", F.explode(F.transform(F.array(step, step + 1), lambda c: F.xxhash64("key", c)))).select("key", "t")
-    for _ in range(2):
-        group = durable(group.join(group.groupBy("key").agg(F.min("t").alias("a")), "key"))
-        wanted = apart(group.where("a <> t").select("a", F.col("t").alias("b")).distinct(), label)
-        if wanted.limit(1).count():
-            linked = linked.unionByName(aligned(wanted))
-            label = components(linked)
-        # those that aren't of the centre's class have another one
-        group = mixed(group, label).select("key", "t")
-    # what strangers share set aside; a text has some 200 keys at most
-    common = shared_by_strangers(label).groupBy("t").agg(F.collect_set("key").alias("common"))
-    own = _repeated(durable(text_of.join(common, "t").select("t", "text", "common").mapInArrow(outside, "t long, n int, keys array<long>")))
-    wanted = apart(own.where("a <> t").select("a", F.col("t").alias("b")).distinct(), label)
+    split = members.select("t", "n", F.explode(F.slice(F.array_sort("common"), 1, BY_LENGTH)).alias("key"), step.alias("step"))
+    split = split.select("t", "n", F.explode(F.array(F.xxhash64("key", "step"), F.xxhash64("key", F.col("step") + 1))).alias("key"))
+    split = split.join(split.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("key", "a"), "key").withColumn("an", F.col("n"))
+    own = _repeated(durable(text_of.join(members, "t").select("t", "n", "text", "common").mapInArrow(outside, "t long, n int, keys array<long>")))
+    wanted = apart(candidates(split).unionByName(candidates(own, 2)).distinct(), label)
     if wanted.limit(1).count():
-        label = components(linked.unionByName(aligned(wanted)))
+        found = aligned(wanted)
+        if found.limit(1).count():
+            label = components(linked.unionByName(found))
     return label.withColumnRenamed("node", "t")
 
 
