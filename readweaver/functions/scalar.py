@@ -94,20 +94,15 @@ def common_prefix(a: Column | str, b: Column | str) -> Column:
         n = got + step
         return F.when((n <= size) & (F.substr(x, F.lit(1), n) == F.substr(y, F.lit(1), n)), n).otherwise(got)
 
-    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))  # a string has fewer than 2**31 characters
     return F.aggregate(steps, F.lit(0), grow)
 
 
 def matches(a: Column | str, b: Column | str) -> Column:
     """(matched, unmatched) of two equally long slices; places with N in either count for neither."""
-    x, y = _c(a), _c(b)
-    places = F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
-    p = lambda s, i: F.substring(s, i, F.lit(1))
-    valid = lambda i: (p(x, i) != "") & (p(x, i) != "N") & (p(y, i) != "N")
-    return F.struct(
-        F.size(F.filter(places, lambda i: valid(i) & (p(x, i) == p(y, i)))).alias("matched"),
-        F.size(F.filter(places, lambda i: valid(i) & (p(x, i) != p(y, i)))).alias("unmatched"),
-    )
+    x, y = (F.filter(F.split(_c(c), ""), lambda p: p != "") for c in (a, b))
+    same = F.zip_with(x, y, lambda p, q: F.when((p == "N") | (q == "N"), F.lit(None)).otherwise(p == q))
+    return F.struct(F.size(F.filter(same, lambda v: v)).alias("matched"), F.size(F.filter(same, lambda v: ~v)).alias("unmatched"))
 
 
 # -- coordinates ---------------------------------------------------------------------------------------------------------------

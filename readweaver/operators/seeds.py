@@ -28,8 +28,9 @@ def oriented(reads: DataFrame) -> DataFrame:
 
 
 def read_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(read_idx, direction, n, s, kmer) of both orientations."""
-    return gn.kmers(oriented(reads), "seq", k, "read_idx", "direction", "n").withColumnRenamed("pos", "s")
+    """(read_idx, direction, n, s, kmer) of both orientations; k-mers with N or # match nothing and are left out."""
+    found = gn.kmers(oriented(reads), "seq", k, "read_idx", "direction", "n").withColumnRenamed("pos", "s")
+    return found.where(~F.col("kmer").rlike("[^ACGT]"))
 
 
 def seed_hits(genome: DataFrame, reads: DataFrame, k: int, max_rep: int = 10_000) -> DataFrame:

@@ -20,7 +20,7 @@ SHORT_K = 14
 #: Short seeds, so that windows have several.
 PAIR_K = 12
 #: Windows on documents: 64-base bins, so that documents have many.
-WINDOWS = WindowConfig(bin_bits=6, max_seeds=8)
+WINDOWS = WindowConfig(bin_bits=6)
 CONFIG = AlignConfig(genome=GenomeConfig(kmer_size=K), windows=WINDOWS)
 
 
@@ -258,10 +258,10 @@ def gap_classify(spark, d):
 
 
 def same_gap_score(spark, d):
-    """Equal slices of each document and of the next, one base later: matched and unmatched."""
+    """Each document and the next from its second base on, as far as both go: matched and unmatched."""
     g = genome(spark, d)
-    a = g.select("chr_idx", F.substring("seq", 1, 60).alias("a"))
-    b = g.select((F.col("chr_idx") - 1).alias("chr_idx"), F.substring("seq", 2, 60).alias("b"))
+    a = g.select("chr_idx", F.col("seq").alias("a"))
+    b = g.select((F.col("chr_idx") - 1).alias("chr_idx"), F.expr("substr(seq, 2)").alias("b"))
     rows = a.join(b, "chr_idx").select("chr_idx", F.expr("substr(a, 1, least(length(a), length(b)))").alias("a"), F.expr("substr(b, 1, least(length(a), length(b)))").alias("b"))
     scored = rows.select("chr_idx", fn.matches("a", "b").alias("m"), fn.common_prefix("a", "b").alias("prefix"))
     return _longs(scored.select("chr_idx", "m.matched", "m.unmatched", "prefix", (F.col("m.matched") - F.col("m.unmatched")).alias("score")))
@@ -269,8 +269,8 @@ def same_gap_score(spark, d):
 
 def _sides(spark, d):
     q = _t(spark, d, "benchmark")
-    own = q.select("item_id", F.substring(fn.dna("text", "N"), 1, 100).alias("read_side"))
-    other = q.select((F.col("item_id") - 1).alias("item_id"), F.substring(F.concat(F.substring(fn.dna("text", "N"), 1, 60), F.lit("#"), fn.dna("text")), 1, 100).alias("genome_side"))
+    own = q.select("item_id", fn.dna("text", "N").alias("read_side"))
+    other = q.select((F.col("item_id") - 1).alias("item_id"), F.concat(fn.dna("text", "N"), F.lit("#"), fn.dna("text")).alias("genome_side"))
     return own.join(other, "item_id")
 
 
@@ -286,10 +286,11 @@ def score_upper_bound(spark, d):
 # -- splicing ------------------------------------------------------------------------------------------------------------------
 
 def _introns(spark, d):
-    """(chr_idx, seq, s, e): intron-like places on each document, from its own number."""
+    """(chr_idx, seq, j, s, e): five intron-like places on each document, all over its two halves, from its own number."""
     g = genome(spark, d).where(F.length("seq") >= 120)
     return g.select("chr_idx", "seq", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select(
-        "chr_idx", "seq", "j", (F.lit(10) + (F.col("chr_idx") * 7 + F.col("j") * 11) % 40).cast("int").alias("s"), (F.lit(70) + (F.col("chr_idx") * 5 + F.col("j") * 17) % 40).cast("int").alias("e")
+        "chr_idx", "seq", "j", F.expr("cast(10 + (chr_idx * 7 + j * 1009) % (length(seq) div 2 - 20) as int)").alias("s"),
+        F.expr("cast(length(seq) div 2 + 10 + (chr_idx * 5 + j * 2003) % (length(seq) div 2 - 20) as int)").alias("e"),
     )
 
 
@@ -367,8 +368,17 @@ def mate_zip(spark, d):
     return _longs(_mates(spark, d).select("read_idx", F.length("mate1").alias("mate1_length"), F.length("mate2").alias("mate2_length"), F.length("seq").alias("length"), F.md5("seq").alias("seq_md5")))
 
 
+def _facing(spark, d):
+    """(read_idx, seq): 60 bases of each document and 60 bases 40 to 99 bases further on, joined by # as mates are; three bases of the second are changed."""
+    g = genome(spark, d).where(F.length("seq") >= 260)
+    at = F.expr("cast(1 + chr_idx * 13 % (length(seq) - 220) as int)")
+    mate = F.expr("substr(seq, a + 100 + cast(chr_idx % 60 as int), 60)")
+    changed = lambda m: F.concat(F.substr(m, F.lit(1), F.lit(27)), F.translate(F.substr(m, F.lit(28), F.lit(3)), "ACGT", "CGTA"), F.substr(m, F.lit(31), F.lit(30)))
+    return g.withColumn("a", at).withColumn("m", mate).select(F.col("chr_idx").alias("read_idx"), F.concat(F.expr("substr(seq, a, 60)"), F.lit("#"), changed(F.col("m"))).alias("seq"))
+
+
 def paired_stitch(spark, d):
-    found = al.align(genome(spark, d), _mates(spark, d).select("read_idx", "seq"), AlignConfig(genome=GenomeConfig(kmer_size=K)))
+    found = al.align(genome(spark, d), _facing(spark, d), AlignConfig(genome=GenomeConfig(kmer_size=K)))
     return _longs(found.select("read_idx", "direction", "chr_idx", "genome_start", "genome_end", "score", "matched", "unmatched", F.size("exons").alias("n_exons"), "hits", "status"))
 
 
@@ -453,9 +463,9 @@ def junction_database(spark, d):
 
 
 def annotated_parts(spark, d):
-    """Donor and acceptor parts of spliced reads, 15 and 25 bases of each document's first intron-like place; a part may lie on several documents."""
+    """Donor and acceptor parts of spliced reads, 15 and 25 bases of each intron-like place of the documents; a part may lie on several documents."""
     sjdb = _database(spark, d)
-    spliced = _introns(spark, d).where("j = 0").select(F.col("chr_idx").alias("read_idx"), F.concat(F.expr("substr(seq, greatest(s - 15, 0) + 1, least(s, 15))"), F.expr("substr(seq, e + 2, 25)")).alias("seq"))
+    spliced = _introns(spark, d).select((F.col("chr_idx") * 5 + F.col("j")).alias("read_idx"), F.concat(F.expr("substr(seq, greatest(s - 15, 0) + 1, least(s, 15))"), F.expr("substr(seq, e + 2, 25)")).alias("seq"))
     found = sd.mem_islands(sd.seed_hits(sjdb.select(F.col("sj_idx").alias("chr_idx"), F.col("sj_seq").alias("seq")), spliced, K), K)
     rows = jn.parts(jn.crossing(found, sjdb))
     return rows.groupBy("read_idx", "direction", "read_start", "length", "repeat").agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("pos").cast("long")).alias("pos_sum"), F.min("chr_idx").alias("first_chr")).select(

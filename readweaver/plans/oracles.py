@@ -92,7 +92,7 @@ SUBSUME = [
     f"sub AS (SELECT * FROM islands QUALIFY row_number() OVER (PARTITION BY {W}, diag, isle ORDER BY length DESC, read_start) = 1)",
 ]
 TOP = [
-    f"best AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY {W} ORDER BY is_anchor DESC, length DESC, read_start, pos) <= 8)",
+    f"best AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY {W} ORDER BY is_anchor DESC, length DESC, read_start, pos) <= 50)",
     f"kept AS (SELECT *, row_number() OVER (PARTITION BY {W} ORDER BY read_start, pos, length) AS ordinal FROM best)",
 ]
 SEEDED = [*mems(), *SEEDS, *sessions(), FLANK, *assigned()]
@@ -123,7 +123,7 @@ LAYOUT = [
 POSITIONS = "p AS (SELECT l_orderkey AS order_key, l_linenumber AS line, l_partkey * 7919 + l_orderkey * 13 AS pos FROM lineitem)"
 
 INTRONS = [
-    G, "i AS (SELECT chr_idx, seq, j, 10 + (chr_idx * 7 + j * 11) % 40 AS s, 70 + (chr_idx * 5 + j * 17) % 40 AS e FROM g, unnest(range(0, 5)) AS u(j) WHERE length(seq) >= 120)",
+    G, "i AS (SELECT chr_idx, seq, j, 10 + (chr_idx * 7 + j * 1009) % (length(seq) // 2 - 20) AS s, length(seq) // 2 + 10 + (chr_idx * 5 + j * 2003) % (length(seq) // 2 - 20) AS e FROM g, unnest(range(0, 5)) AS u(j) WHERE length(seq) >= 120)",
     f"sh AS (SELECT *, {lcp_sql('reverse(substr(seq, 1, s))', 'reverse(substr(seq, 1, e + 1))', 255)} AS shift_left, {lcp_sql('substr(seq, s + 1, 255)', 'substr(seq, e + 2, 255)', 255)} AS shift_right FROM i)",
 ]
 ANNOTATED = [*INTRONS, f"ann AS (SELECT s AS start, e AS \"end\", chr_idx % 3 AS strand, {motif('substr(seq, s + 1, 2) || substr(seq, e, 2)', 0)} AS motif, 10 * (1 + j % 2) AS priority, shift_left, shift_right, chr_idx * 5 + j AS ordinal FROM sh)"]
@@ -134,7 +134,7 @@ DATABASE = [
     "db AS (SELECT chr_idx, start, \"end\", strand, motif, shift_left, shift_right, least(start, 30) AS donor, substr(seq, greatest(start - 30, 0) + 1, least(start, 30)) || substr(seq, \"end\" + 2, 30) AS sj_seq FROM d1 QUALIFY row_number() OVER (PARTITION BY chr_idx, start, \"end\" ORDER BY strand > 0 DESC, priority DESC) = 1)",
 ]
 PARTS = [
-    *DATABASE, "r AS (SELECT chr_idx AS read_idx, substr(seq, greatest(s - 15, 0) + 1, least(s, 15)) || substr(seq, e + 2, 25) AS seq FROM i WHERE j = 0)", O,
+    *DATABASE, "r AS (SELECT chr_idx * 5 + j AS read_idx, substr(seq, greatest(s - 15, 0) + 1, least(s, 15)) || substr(seq, e + 2, 25) AS seq FROM i)", O,
     f"rk AS (SELECT read_idx, direction, n, s, substr(seq, s + 1, {K}) AS kmer FROM o, unnest(range(0, n - {K} + 1)) AS u(s))",
     f"jk AS (SELECT db.*, p, substr(sj_seq, p + 1, {K}) AS kmer FROM db, unnest(range(0, length(sj_seq) - {K} + 1)) AS u(p))",
     "rare AS (SELECT kmer FROM jk GROUP BY kmer HAVING count(*) <= 10000)",
@@ -170,8 +170,8 @@ _SUFFIX = "sfx AS (SELECT item_id, pos, substr(seq, pos + 1, 400) AS suffix FROM
 _RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY translate(suffix, 'N#', '~~') || chr(127), item_id, pos) - 1 AS rank FROM sfx)"
 
 EXTEND = [
-    f"a AS (SELECT item_id, substr({dna('text', 'N')}, 1, 100) AS r FROM benchmark)",
-    f"b AS (SELECT item_id - 1 AS item_id, substr(substr({dna('text', 'N')}, 1, 60) || '#' || {dna('text')}, 1, 100) AS gs FROM benchmark)",
+    f"a AS (SELECT item_id, {dna('text', 'N')} AS r FROM benchmark)",
+    f"b AS (SELECT item_id - 1 AS item_id, {dna('text', 'N')} || '#' || {dna('text')} AS gs FROM benchmark)",
     "s AS (SELECT item_id, regexp_extract(r, '^[^#]*') AS r, regexp_extract(gs, '^[^#]*') AS gs FROM a JOIN b USING (item_id))",
     "w AS (SELECT item_id, p, substr(r, p, 1) AS x, substr(gs, p, 1) AS y FROM s, unnest(range(1, least(length(r), length(gs)) + 1)) AS u(p))",
     "c AS (SELECT item_id, p, sum((x <> 'N' AND y <> 'N' AND x = y)::INT) OVER z AS hit, sum((x <> 'N' AND y <> 'N' AND x <> y)::INT) OVER z AS miss FROM w WINDOW z AS (PARTITION BY item_id ORDER BY p))",
@@ -229,8 +229,9 @@ ORACLES = {
         [*PAIRS, "cut AS (SELECT *, greatest(a_read + a_length - b_read, 0) AS cut FROM pairs)", "gap AS (SELECT *, b_length - cut AS b2, b_read + cut - a_read - a_length AS read_gap, b_pos + cut - a_pos - a_length AS genome_gap FROM cut)"],
         f"SELECT {big('read_idx', 'direction', 'chr_idx', 'window_id', 'i', 'j', 'read_gap', 'genome_gap')}, b2::BIGINT AS b_length, CASE WHEN b2 <= 0 OR b_pos + b_length <= a_pos + a_length THEN 'CANNOT_STITCH' WHEN read_gap = 0 AND genome_gap = 0 THEN 'PERFECT_MATCH' WHEN genome_gap = read_gap THEN 'SAME_GAP' WHEN genome_gap - read_gap > 589824 THEN 'CANNOT_STITCH' WHEN genome_gap - read_gap >= 21 THEN 'SPLICE_JUNCTION' WHEN genome_gap > read_gap THEN 'DELETION' ELSE 'INSERTION' END AS type FROM gap"),
     "same_gap_score": sql(
-        [G, "x AS (SELECT a.chr_idx, substr(a.seq, 1, 60) AS a, substr(b.seq, 2, 60) AS b FROM g a JOIN g b ON b.chr_idx = a.chr_idx + 1)", "y AS (SELECT chr_idx, p, substr(a, p, 1) = substr(b, p, 1) AS same, least(length(a), length(b)) AS n FROM x, unnest(range(1, 61)) AS u(p))",
-         "z AS (SELECT chr_idx, count_if(same AND p <= n) AS matched, count_if(NOT same AND p <= n) AS unmatched, coalesce(min(p) FILTER (WHERE NOT same OR p > n), 61) - 1 AS prefix FROM y GROUP BY chr_idx)"],
+        [G, "x AS (SELECT a.chr_idx, a.seq AS a, substr(b.seq, 2) AS b, least(length(a.seq), greatest(length(b.seq) - 1, 0)) AS n FROM g a JOIN g b ON b.chr_idx = a.chr_idx + 1)",
+         "y AS (SELECT chr_idx, p, p <= n AS inside, substr(a, p, 1) = substr(b, p, 1) AS same FROM x, unnest(range(1, n + 2)) AS u(p))",
+         "z AS (SELECT chr_idx, count_if(inside AND same) AS matched, count_if(inside AND NOT same) AS unmatched, min(p) FILTER (WHERE NOT (inside AND same)) - 1 AS prefix FROM y GROUP BY chr_idx)"],
         f"SELECT {big('chr_idx', 'matched', 'unmatched', 'prefix')}, (matched - unmatched)::BIGINT AS score FROM z"),
     "extend_prefix_max": sql(EXTEND, "SELECT bud.item_id::BIGINT AS item_id, bud.m::BIGINT AS m, coalesce(p, 0)::BIGINT AS length, coalesce(hit, 0)::BIGINT AS matches, coalesce(miss, 0)::BIGINT AS mismatches FROM bud LEFT JOIN top ON top.item_id = bud.item_id AND top.m = bud.m"),
     "score_upper_bound": sql([*KEPT, f"p AS (SELECT {W}, read_start, max(length + least(read_start, 10)) AS m FROM kept GROUP BY ALL)"], f"SELECT {big('read_idx', 'direction', 'chr_idx', 'window_id')}, sum(m)::BIGINT AS bound FROM p GROUP BY ALL"),
