@@ -149,7 +149,7 @@ def count_windows(docs: DataFrame, routes: Routes) -> DataFrame:
 
 
 #: A run of windows with one minimiser: its words' symbols and the minimiser's place in it.  A copy has minus its number of windows for the place and,
-#: for the words, did, th and start of the equal segment that stands for it.
+#: for the words, did, th and start of the equal windows that stand for it.
 SEGMENT = "g long, did long, th long, start int, a int, words binary"
 FIELDS = [f.split()[0] for f in SEGMENT.split(", ")]
 _COPY = np.dtype([("did", "<i8"), ("th", "<i8"), ("start", "<i4")])
@@ -207,13 +207,22 @@ def segments(docs: DataFrame, routes: Routes) -> DataFrame:
         place[head[~own]] |= STANDS
         yield _pack([c[own] for c in (g, did, th, start, place)], symbols, offs[:-1][own], offs[1:][own])
         if not own.all():
+            # a document's copies that go on as their stand-ins do are one
             rest = np.flatnonzero(~own)
+            rest = rest[np.lexsort((start[rest], th[rest], did[rest]))]
+            n = sizes[rest] - length + 1
+            goes_on = np.zeros(len(rest), bool)
+            goes_on[1:] = True
+            for at in (rest, head[rest]):
+                goes_on[1:] &= (did[at][1:] == did[at][:-1]) & (th[at][1:] == th[at][:-1]) & (start[at][1:] == start[at][:-1] + n[:-1])
+            leads = np.flatnonzero(~goes_on)
+            n, rest = np.add.reduceat(n, leads), rest[leads]
             of = np.empty(len(rest), _COPY)
             for name, c in (("did", did), ("th", th), ("start", start)):
                 of[name] = c[head[rest]]
             spread = join(did[rest].view(np.uint64), start[rest].astype(np.uint64)).view(np.int64)
             packed = pa.BinaryArray.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer((np.arange(len(rest) + 1) * _COPY.itemsize).astype(np.int32).tobytes()), pa.py_buffer(of.tobytes())])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, did[rest], th[rest], start[rest], (length - 1 - sizes[rest]).astype(np.int32))), packed], FIELDS)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread, did[rest], th[rest], start[rest], (-n).astype(np.int32))), packed], FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

@@ -16,7 +16,7 @@ overlap.  A passage is `length` words or more.
 
 Size: a minimiser's segments are bounded (those of frequent ones are split and equal
 ones combined).  What is found for a segment that stands for copies is handed to
-them by a join on that segment, which has no more copies than one task combined.
+them by a join on its document, a copy being all that goes on alike in both.
 Word symbols are 48 bits of a 64-bit hash.
 
 Defined results: a null text has no words; a null doc_id counts as the largest
@@ -143,12 +143,17 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     if routes.again is None:
         found = found.where("kind = 0")
     else:
-        # what the segments in the copies' place have, from there on
+        # what the stand-ins' windows have, joined across segments, and of that what each copy covers
         found = durable(found)
-        place = ["did", "th", "base"]
-        copied = found.where("kind = 2").select(*place, "other_did", "other_th", "other_start").join(found.where("kind = 1").select(*place, "start", "n", "first_did"), place)
-        copied = copied.where("first_did < other_did").select(
-            F.col("other_did").alias("did"), F.col("other_th").alias("th"), (F.col("start") - F.col("base") + F.col("other_start")).cast("int").alias("start"), "n", "first_did"
+        place = ["did", "th"]
+        told = found.where("kind = 1").select(*place, "first_did", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")).distinct()
+        along = Window.partitionBy(*place, "first_did").orderBy("s", "e")
+        fresh = F.coalesce(F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) < F.col("s")
+        told = told.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(along)).groupBy(*place, "first_did", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+        copied = found.where("kind = 2").select(*place, "base", "n", "other_did", "other_th", "other_start").join(told, place)
+        lo, hi = F.greatest("s", "base"), F.least("e", F.col("base") + F.col("n"))
+        copied = copied.where((lo < hi) & (F.col("first_did") < F.col("other_did"))).select(
+            F.col("other_did").alias("did"), F.col("other_th").alias("th"), (lo - F.col("base") + F.col("other_start")).cast("int").alias("start"), (hi - lo).cast("int").alias("n"), "first_did"
         )
         found = found.where("kind = 0").select(*copied.columns).unionByName(copied)
     # join the runs of windows that overlap or touch in the words they cover
