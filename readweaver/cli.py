@@ -50,21 +50,29 @@ def generate(spark: SparkSession, args: argparse.Namespace, config: AlignConfig)
         tables |= {"junction": jn.collapse(jn.introns(renamed)), "transcript": jn.encode(renamed, "transcript", "line_no", "strand"), "gene": jn.encode(renamed, "gene", "line_no", "gene_name", "gene_type"), "exon_rejected": rejected, "exon_warning": exons.where("warning is not null")}
         loci = gn.chromosome_of(tables["junction"], chrs, config.genome.bin_size, "sj_start").select("chr_idx", F.col("offset").alias("start"), (F.col("sj_end") - F.col("sj_start") + F.col("offset")).alias("end"), "strand", "priority", "genes")
     sinks.write_index(args.genomeDir, **tables)
+    k = config.genome.kmer_size
+    stored = sinks.load_index(spark, args.genomeDir, "genome", "kmer")
+    sinks.write_index(args.genomeDir, place=ix.kmer_places(stored["genome"], stored["kmer"], k))
     # without annotation the table of junctions is empty, so that an index holds no other's
     nothing = spark.createDataFrame([], f"chr_idx {dict(genome.dtypes)['chr_idx']}, start long, end long, strand int, priority int, genes array<string>")
     sinks.write_index(args.genomeDir, sjdb=jn.database(nothing if loci is None else loci, genome, config.annotation.overhang))
     sjdb = sinks.load_index(spark, args.genomeDir, "sjdb")["sjdb"]
-    sinks.write_index(args.genomeDir, sjdb_kmer=ix.kmer_index(sjdb.select(F.col("sj_idx").alias("chr_idx"), F.col("sj_seq").alias("seq")), config.genome.kmer_size))
+    spliced = sjdb.select(F.col("sj_idx").alias("chr_idx"), F.col("sj_seq").alias("seq"))
+    sinks.write_index(args.genomeDir, sjdb_kmer=ix.kmer_index(spliced, k))
+    sinks.write_index(args.genomeDir, sjdb_place=ix.kmer_places(spliced, sinks.load_index(spark, args.genomeDir, "sjdb_kmer")["sjdb_kmer"], k))
+    sinks.write_index(args.genomeDir, info=spark.createDataFrame([(k,)], "kmer_size int"))
     sinks.write_chromosomes(chrs, f"{args.genomeDir}/text")
 
 
 def align(spark: SparkSession, args: argparse.Namespace, config: AlignConfig) -> None:
     """SAM records, the final report and that of the progress."""
     began = time.time()
-    tables = sinks.load_index(spark, args.genomeDir, "genome", "chromosome", "sjdb")
+    tables = sinks.load_index(spark, args.genomeDir, "genome", "chromosome", "sjdb", "place", "sjdb_place", "info")
+    if (k := tables["info"].first().kmer_size) != config.genome.kmer_size:
+        raise ValueError(f"the index has k-mers of {k} bases, the options ask for {config.genome.kmer_size}")
     reads = fastq.read_paired(spark, args.readFile, args.readFile2) if args.readFile2 else fastq.read_single(spark, args.readFile)
     plain = reads.select("read_idx", F.col("seq_fwd").alias("seq"))
-    seeds = al.placed_seeds(tables["genome"], plain, config, tables["sjdb"])
+    seeds = al.placed_seeds(tables["genome"], plain, config, tables["sjdb"], tables["place"], tables["sjdb_place"])
     # the alignment and the status of reads without one both need the seeds: they are found once
     seeds.write.mode("overwrite").parquet(f"{args.outPutDir}/seed")
     seeds = spark.read.parquet(f"{args.outPutDir}/seed")

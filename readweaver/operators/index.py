@@ -19,6 +19,16 @@ def kmer_index(genome: DataFrame, k: int) -> DataFrame:
     return ranked(counted, "kmer", "count", "first_rank").select("kmer", fn.kmer_code("kmer", k).alias("code"), "first_rank", "count")
 
 
+def kmer_places(genome: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(code, count, chr_idx, pos): every place of the k-mers of bases, with how many places its k-mer has; what alignments look seeds up in.
+
+    Ranges of code and place: a file holds neighbouring codes, so a scan skips what the reads don't have, and a frequent k-mer fills several files.
+    """
+    places = gn.kmers(genome, "seq", k, "chr_idx").select(fn.kmer_code("kmer", k).alias("code"), "chr_idx", "pos").where("code >= 0")
+    counted = places.join(index.where("code >= 0").select("code", "count"), "code").select("code", "count", "chr_idx", "pos")
+    return counted.repartitionByRange("code", "chr_idx", "pos").sortWithinPartitions("code", "chr_idx", "pos")
+
+
 def ranked(counted: DataFrame, key: str, count: str, out: str) -> DataFrame:
     """counted with the number of rows of all smaller keys (strings)."""
     led = counted.withColumn("__lead", F.substring(key, 1, LEAD))

@@ -13,38 +13,50 @@ def split_runs(reads: DataFrame, min_length: int = 20) -> DataFrame:
 
     The pieces between separators give the places by a running sum; all within the row.
     """
-    pieces = F.split("seq", "[^ACGT]", -1)
-    rows = reads.select("read_idx", "seq", F.posexplode(pieces).alias("i", "piece"))
-    rows = rows.select("read_idx", "seq", "piece", F.aggregate(F.slice(F.split("seq", "[^ACGT]", -1), F.lit(1), F.col("i")), F.lit(0), lambda a, p: a + F.length(p) + 1).alias("read_start"))
-    rows = rows.where(F.length("piece") >= min_length)
+    rows = _runs(reads, min_length, "read_idx", "seq")
     fragment = F.col("read_start") - F.length(F.regexp_replace(F.substr("seq", F.lit(1), F.col("read_start")), "#", ""))
     return rows.select("read_idx", fragment.cast("int").alias("fragment"), "read_start", F.length("piece").alias("length"))
 
 
+def _runs(df: DataFrame, min_length: int, *keep: str) -> DataFrame:
+    """(keep..., read_start, piece): the stretches of bases of seq."""
+    pieces = F.split("seq", "[^ACGT]", -1)
+    rows = df.select(*keep, pieces.alias("all"), F.posexplode(pieces).alias("i", "piece"))
+    before = F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0), lambda a, p: a + F.length(p) + 1)
+    return rows.where(F.length("piece") >= min_length).select(*keep, before.alias("read_start"), "piece")
+
+
 def oriented(reads: DataFrame) -> DataFrame:
     """(read_idx, direction, n, seq): every read and its reverse complement."""
     both = F.explode(F.array(F.struct(F.lit(0).alias("direction"), F.col("seq")), F.struct(F.lit(1).alias("direction"), fn.revcomp("seq").alias("seq"))))
     return reads.select("read_idx", both.alias("o")).select("read_idx", "o.direction", F.length("o.seq").alias("n"), "o.seq")
 
 
-def read_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(read_idx, direction, n, s, kmer) of both orientations; k-mers with N or # match nothing and are left out."""
-    found = gn.kmers(oriented(reads), "seq", k, "read_idx", "direction", "n").withColumnRenamed("pos", "s")
-    return found.where(~F.col("kmer").rlike("[^ACGT]"))
+def read_kmers(reads: DataFrame, k: int, min_run: int = 1) -> DataFrame:
+    """(read_idx, direction, n, s, kmer) of both orientations, in stretches of at least min_run bases; k-mers with N or # match nothing and are left out."""
+    own = ["read_idx", "direction", "n"]
+    found = gn.kmers(_runs(oriented(reads), max(min_run, k), *own), "piece", k, *own, "read_start")
+    return found.select(*own, (F.col("read_start") + F.col("pos")).alias("s"), "kmer")
 
 
-def seed_hits(genome: DataFrame, reads: DataFrame, k: int, max_rep: int = 10_000) -> DataFrame:
+def seed_hits(genome: DataFrame, reads: DataFrame, k: int, max_rep: int = 10_000, min_run: int = 1) -> DataFrame:
     """(read_idx, direction, n, s, chr_idx, pos): places on the forward strand of every k-mer of the reads.
 
     The genome's k-mers are reduced to those that the reads have, by a semi-join, before they are counted and joined; k-mers that occur more than max_rep times give no hits.
     """
-    queries = read_kmers(reads, k)
+    queries = read_kmers(reads, k, min_run)
     wanted = queries.select("kmer").distinct()
     places = gn.kmers(genome, "seq", k, "chr_idx").join(wanted, "kmer", "left_semi")
     rare = places.groupBy("kmer").agg(F.count(F.lit(1)).alias("rep")).where(F.col("rep") <= max_rep).select("kmer")
     return queries.join(places.join(rare, "kmer", "left_semi"), "kmer").select("read_idx", "direction", "n", "s", "chr_idx", "pos")
 
 
+def stored_hits(places: DataFrame, reads: DataFrame, k: int, max_rep: int = 10_000, min_run: int = 1) -> DataFrame:
+    """`seed_hits` from a table of places (`index.kmer_places`) instead of the genome; frequent k-mers are left out by the scan."""
+    queries = read_kmers(reads, k, min_run).withColumn("code", fn.kmer_code("kmer", k)).drop("kmer")
+    return queries.join(places.where(F.col("count") <= max_rep), "code").select("read_idx", "direction", "n", "s", "chr_idx", "pos")
+
+
 def mem_islands(hits: DataFrame, k: int) -> DataFrame:
     """(read_idx, direction, n, chr_idx, read_start, length, pos): maximal exact matches, islands of consecutive hits on a diagonal."""
     diagonal = hits.withColumn("diag", F.col("pos") - F.col("s"))

@@ -162,6 +162,12 @@ def seed_hits(spark, d):
     return _longs(hits.groupBy("read_idx", "direction", "s").agg(F.count(F.lit(1)).alias("rep"), F.min("chr_idx").alias("first_chr"), F.sum("pos").alias("pos_sum")))
 
 
+def stored_seed_hits(spark, d):
+    g = genome(spark, d)
+    hits = sd.stored_hits(ix.kmer_places(g, ix.kmer_index(g, K), K), reads(spark, d), K)
+    return _longs(hits.groupBy("read_idx", "direction", "s").agg(F.count(F.lit(1)).alias("rep"), F.min("chr_idx").alias("first_chr"), F.sum("pos").alias("pos_sum")))
+
+
 def short_tail_prefix_range(spark, d):
     tails = reads(spark, d).select("read_idx", F.substring(F.reverse("seq"), 1, 8).alias("t")).select("read_idx", F.reverse("t").alias("tail"))
     counted = gn.kmers(genome(spark, d), "seq", 8, "chr_idx").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
@@ -482,7 +488,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dna_derive, revcomp, base_composition, kmer_encode, kmer_encode_partial, header_token, attr_extract, pad_layout, chromosome_of_pos, strand_project, two_strand_union, read_split_runs, kmer_index,
-        kmer_prefix_presence, kmer_sample_points, kmer_ffill_bounds, suffix_rank, lcp, suffix_merge, seed_hits, short_tail_prefix_range, mem_islands, mmp_per_position, seed_chain, best_mem, seed_anchor_flag,
+        kmer_prefix_presence, kmer_sample_points, kmer_ffill_bounds, suffix_rank, lcp, suffix_merge, seed_hits, stored_seed_hits, short_tail_prefix_range, mem_islands, mmp_per_position, seed_chain, best_mem, seed_anchor_flag,
         window_sessions, event_sessions, window_flank, seed_to_window, seed_subsume, window_topk, window_pairs, gap_classify, same_gap_score, extend_prefix_max, score_upper_bound, splice_motif, junction_shift,
         length_penalty, multimap_select, mapq_flag, sam_record, align_report, read_status, stitch_dp, mate_zip, paired_stitch, exon_introns, transcript_bounds, junction_collapse, exon_chr_semi, exon_chr_anti,
         junction_dedup1, junction_dedup2, junction_flanks, junction_split, junction_database, annotated_parts, dictionary_encode,

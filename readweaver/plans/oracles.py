@@ -205,6 +205,7 @@ ORACLES = {
     "lcp": sql([QN, _SUFFIX, _RANKED, "n AS (SELECT rank, suffix, lag(suffix) OVER (ORDER BY rank) AS prev FROM ranked)"], f"SELECT {big('rank')}, (CASE WHEN prev IS NULL THEN 0 ELSE {lcp_sql('suffix', 'prev', 255)} END)::BIGINT AS lcp FROM n"),
     "suffix_merge": sql([QN, _SUFFIX, "m AS (SELECT item_id % 2 AS source, item_id, pos, row_number() OVER (ORDER BY translate(suffix, 'N#', '~~') || chr(127), item_id % 2, item_id, pos) - 1 AS rank FROM sfx)"], "SELECT source::BIGINT AS source, item_id, pos::BIGINT AS pos, rank::BIGINT AS rank, (CASE WHEN source = 1 THEN sum(1 - source) OVER (ORDER BY rank) END)::BIGINT AS insert_rank FROM m"),
     "seed_hits": sql(hits(K), "SELECT read_idx, direction::BIGINT AS direction, s::BIGINT AS s, count(*)::BIGINT AS rep, min(chr_idx)::BIGINT AS first_chr, sum(pos)::BIGINT AS pos_sum FROM hits GROUP BY read_idx, direction, s"),
+    "stored_seed_hits": sql(hits(K), "SELECT read_idx, direction::BIGINT AS direction, s::BIGINT AS s, count(*)::BIGINT AS rep, min(chr_idx)::BIGINT AS first_chr, sum(pos)::BIGINT AS pos_sum FROM hits GROUP BY read_idx, direction, s"),
     "short_tail_prefix_range": sql([G, R, gk(8), "t AS (SELECT read_idx, right(seq, 8) AS tail FROM r)", "s AS (SELECT read_idx, l, substr(tail, 1, l) AS p FROM t, unnest(range(1, length(tail) + 1)) AS u(l))", "c AS (SELECT substr(kmer, 1, l) AS p, count(*) AS n FROM gk, unnest(range(1, 9)) AS u(l) GROUP BY 1)"], "SELECT read_idx, l::BIGINT AS length, coalesce(n, 0)::BIGINT AS n FROM s LEFT JOIN c USING (p)"),
     "mem_islands": sql(mems(), f"SELECT {big('read_idx', 'direction', 'n', 'chr_idx', 'read_start', 'length', 'pos')} FROM mem"),
     "mmp_per_position": sql(MMP, f"SELECT {big('read_idx', 'direction', 's', 'length', 'rep')} FROM mmp"),
