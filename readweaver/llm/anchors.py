@@ -19,7 +19,8 @@ longer grams, which follow the window's own words and not the frequent gram.  So
 the edges of a passage that many documents share are cut alike in all of them.
 Equal segments of that kind are combined before they are shuffled: of each, a task
 sends the earliest with its words and the others as copies without, dealt evenly,
-and no key gathers the rows of a frequent passage.
+and no key gathers the rows of a frequent passage.  Copies that go on alike are one,
+and so is a line that a document repeats over and over.
 """
 from __future__ import annotations
 
@@ -149,10 +150,10 @@ def count_windows(docs: DataFrame, routes: Routes) -> DataFrame:
 
 
 #: A run of windows with one minimiser: its words' symbols and the minimiser's place in it.  A copy has minus its number of windows for the place and,
-#: for the words, did, th and start of the equal windows that stand for it.
+#: for the words, did, th, start and number of the equal windows that stand for it, once or time after time.
 SEGMENT = "g long, did long, th long, start int, a int, words binary"
 FIELDS = [f.split()[0] for f in SEGMENT.split(", ")]
-_COPY = np.dtype([("did", "<i8"), ("th", "<i8"), ("start", "<i4")])
+_COPY = np.dtype([("did", "<i8"), ("th", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
 def _symbols(hashes: np.ndarray) -> np.ndarray:
@@ -217,7 +218,15 @@ def segments(docs: DataFrame, routes: Routes) -> DataFrame:
                 goes_on[1:] &= (did[at][1:] == did[at][:-1]) & (th[at][1:] == th[at][:-1]) & (start[at][1:] == start[at][:-1] + n[:-1])
             leads = np.flatnonzero(~goes_on)
             n, rest = np.add.reduceat(n, leads), rest[leads]
+            # and so are those that stand for the same windows time after time, as in a line that is repeated
+            again = np.zeros(len(rest), bool)
+            again[1:] = (n[1:] == n[:-1]) & (start[rest][1:] == start[rest][:-1] + n[:-1])
+            for c in (did[rest], th[rest], head[rest]):
+                again[1:] &= c[1:] == c[:-1]
+            leads = np.flatnonzero(~again)
+            each, n, rest = n[leads], np.add.reduceat(n, leads), rest[leads]
             of = np.empty(len(rest), _COPY)
+            of["n"] = each
             for name, c in (("did", did), ("th", th), ("start", start)):
                 of[name] = c[head[rest]]
             spread = join(did[rest].view(np.uint64), start[rest].astype(np.uint64)).view(np.int64)
@@ -269,15 +278,15 @@ def segments(docs: DataFrame, routes: Routes) -> DataFrame:
 
 
 def copies(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
-    """(the segments among rows SEGMENT, (did, th, start, number of windows, did, th and start of the stand-in) of the copies)."""
+    """(the segments among rows SEGMENT, (did, th, start, number of windows, did, th, start and number of windows of the stand-in) of the copies)."""
     a = batch.column("a").to_numpy()
     rest = a < 0
     if not rest.any():
         z = np.zeros(0, np.int64)
-        return batch, (z,) * 7
+        return batch, (z,) * 8
     part = batch.filter(pa.array(rest))
     of = np.frombuffer(b"".join(part.column("words").to_pylist()), _COPY)
-    return batch.filter(pa.array(~rest)), (*(part.column(c).to_numpy() for c in ("did", "th", "start")), -a[rest], of["did"], of["th"], of["start"])
+    return batch.filter(pa.array(~rest)), (*(part.column(c).to_numpy() for c in ("did", "th", "start")), -a[rest], *(of[c] for c in _COPY.names))
 
 
 def unpack_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

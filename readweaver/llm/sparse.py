@@ -16,7 +16,8 @@ overlap.  A passage is `length` words or more.
 
 Size: a minimiser's segments are bounded (those of frequent ones are split and equal
 ones combined).  What is found for a segment that stands for copies is handed to
-them by a join on its document, a copy being all that goes on alike in both.
+them by a join on its document, a copy being all that goes on alike in both, once
+or time after time.
 Word symbols are 48 bits of a 64-bit hash.
 
 Defined results: a null text has no words; a null doc_id counts as the largest
@@ -92,9 +93,9 @@ def first_windows(shard: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*hits))
 
 
-#: kind 0: windows of a document that stand in first_did before; 1: those of the segment at `base` that stands for copies; 2: a copy of that segment, whose
-#: document is other_did.
-FOUND = "kind int, did long, th long, start int, n int, first_did long, base int, other_did long, other_th long, other_start int"
+#: kind 0: windows of a document that stand in first_did before; 1: those of the segment at `base` that stands for copies; 2: a copy of its `each` windows
+#: from there on, of n windows in the document other_did.
+FOUND = "kind int, did long, th long, start int, n int, first_did long, base int, each int, other_did long, other_th long, other_start int"
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, m: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS, by_source: bool = False) -> DataFrame:
@@ -124,7 +125,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
         def passed() -> Iterator[pa.RecordBatch]:
             while late:
                 did, th, start, n, *of = late.pop()
-                yield rows(2, len(did), did=of[0], th=of[1], base=of[2], n=n, other_did=did, other_th=th, other_start=start)
+                yield rows(2, len(did), did=of[0], th=of[1], base=of[2], each=of[3], n=n, other_did=did, other_th=th, other_start=start)
 
         for shard in shards(whole(), shard_words):
             own, start, first = first_windows(shard, length)
@@ -150,11 +151,15 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
         along = Window.partitionBy(*place, "first_did").orderBy("s", "e")
         fresh = F.coalesce(F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) < F.col("s")
         told = told.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(along)).groupBy(*place, "first_did", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        copied = found.where("kind = 2").select(*place, "base", "n", "other_did", "other_th", "other_start").join(told, place)
-        lo, hi = F.greatest("s", "base"), F.least("e", F.col("base") + F.col("n"))
+        copied = found.where("kind = 2").select(*place, "base", "each", "n", "other_did", "other_th", "other_start").join(told, place)
+        lo, hi = F.greatest("s", "base"), F.least("e", F.col("base") + F.col("each"))
+        # what all of the stand-in's windows have, all of the copy's have; a part of them comes back each time
+        whole = (F.col("s") <= F.col("base")) & (F.col("e") >= F.col("base") + F.col("each"))
+        times = F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.expr("cast(n div each as int)") - 1))).alias("time")
         copied = copied.where((lo < hi) & (F.col("first_did") < F.col("other_did"))).select(
-            F.col("other_did").alias("did"), F.col("other_th").alias("th"), (lo - F.col("base") + F.col("other_start")).cast("int").alias("start"), (hi - lo).cast("int").alias("n"), "first_did"
+            F.col("other_did").alias("did"), F.col("other_th").alias("th"), (lo - F.col("base") + F.col("other_start")).alias("start"), F.when(whole, F.col("n")).otherwise(hi - lo).cast("int").alias("n"), "first_did", "each", times
         )
+        copied = copied.select("did", "th", (F.col("start") + F.col("time") * F.col("each")).cast("int").alias("start"), "n", "first_did")
         found = found.where("kind = 0").select(*copied.columns).unionByName(copied)
     # join the runs of windows that overlap or touch in the words they cover
     found = found.select("did", "th", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("e"), "first_did").distinct()

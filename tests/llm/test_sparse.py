@@ -72,6 +72,31 @@ def test_a_passage_in_many_documents(spark):
     assert sorted(got) == by_source(rows, 50)
 
 
+def test_a_line_repeated_in_many_documents(spark):
+    """Copies of periodic text: alike as a whole, in part, and in documents of other lengths."""
+    rng = random.Random(9)
+    own = lambda n: ["x%d" % rng.randrange(10**6) for _ in range(n)]
+    for period in (1, 2, 7, 60):
+        line = ["l%d" % k for k in range(period)]
+        texts = [" ".join([*own(rng.randint(0, 20)), *line * ((150 + 10 * (i % 7)) // period + 2), *own(rng.randint(0, 20))]) for i in range(90)]
+        texts += [" ".join([*line * (300 // period), "other", *line * (200 // period)])] * 3 + [" ".join(line[: period // 2] + line * (100 // period + 1))]
+        rows = list(enumerate(texts))
+        rng.shuffle(rows)
+        table = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+        got = [tuple(r) for r in sparse.passages(table, hot=50, by_source=True).collect()]
+        assert sorted(got) == by_source(rows, 50), period
+
+
+def test_copies_of_a_repeated_line_are_few(spark):
+    """A row for a document's repeated line, not one for each time."""
+    from readweaver.llm import anchors
+
+    table = docs(spark, ["a b " * 400 + "end%d" % i for i in range(60)], parts=1)
+    source = anchors.keyed(table)
+    routes = anchors.Routes(source, 50, 8, 50)
+    assert anchors.segments(source, routes).where("a < 0").count() <= 60 * 6
+
+
 def test_words_that_differ_are_never_equal(spark):
     order = [bin(k).count("1") % 2 for k in range(1024)]
     one, two = ("".join("ab"[x ^ f] for x in order) for f in (0, 1))

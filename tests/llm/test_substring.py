@@ -120,3 +120,15 @@ def test_a_passage_in_many_documents(spark):
     rows += rows[:5] + [(None, texts[1])]
     got = [tuple(r) for r in substring.deduplicate(docs(spark, [t for _, t in rows], [i for i, _ in rows]), hot=50).collect()]
     assert sorted(got, key=str) == sorted(brute(rows, 20), key=str)
+
+
+def test_a_line_repeated_in_many_documents(spark):
+    rng = random.Random(9)
+    own = lambda n: ["x%d" % rng.randrange(10**6) for _ in range(n)]
+    for period in (1, 3, 30):
+        line = ["l%d" % k for k in range(period)]
+        texts = [" ".join([*own(rng.randint(0, 20)), *line * ((90 + 10 * (i % 7)) // period), *own(rng.randint(0, 20))]) for i in range(80)] * 2
+        rows = list(enumerate(texts))
+        rng.shuffle(rows)
+        got = [tuple(r) for r in substring.deduplicate(docs(spark, [t for _, t in rows], [i for i, _ in rows]), hot=40).collect()]
+        assert sorted(got) == sorted(brute(rows, 20)), period
