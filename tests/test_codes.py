@@ -49,3 +49,15 @@ def test_prefixes(spark, genome, texts, held, monkeypatch):
     plain = spark.createDataFrame([(0, bases(20_000))], "chr_idx long, seq string")
     left = cd.near_prefixes(plain, "seq", 14, q.limit(3)).count()
     assert left <= 200 < gn.kmers(plain, "seq", 14).select("kmer").distinct().count()
+
+
+def test_places(spark, genome, texts):
+    """Places of the wanted codes, and hardly any others, before anything is joined."""
+    got = sorted(map(tuple, cd.places(genome, "seq", 9, "chr_idx").collect()))
+    value = lambda x: sum("ACGT".index(c) * 4 ** (8 - i) for i, c in enumerate(x))
+    every = sorted((j, i, value(t[i : i + 9])) for j, t in enumerate(texts) for i in range(len(t) - 8) if set(t[i : i + 9]) <= set("ACGT"))
+    assert got == every
+    wanted = {c for _, _, c in every[::500]}
+    few = set(map(tuple, cd.places(genome, "seq", 9, "chr_idx", spark.createDataFrame([(c,) for c in wanted], "code long")).collect()))
+    right = {x for x in every if x[2] in wanted}
+    assert right <= few and len(few) <= 2 * len(right) + 100 < len(every)
