@@ -61,3 +61,16 @@ def test_places(spark, genome, texts):
     few = set(map(tuple, cd.places(genome, "seq", 9, "chr_idx", spark.createDataFrame([(c,) for c in wanted], "code long")).collect()))
     right = {x for x in every if x[2] in wanted}
     assert right <= few and len(few) <= 2 * len(right) + 100 < len(every)
+
+
+def test_places_table(spark, genome, texts):
+    """The table of places without an index of all k-mers: counts are of the whole genome; with wanted codes hardly any others are dealt out."""
+    every = sorted((c, i, j) for i, j, c in map(tuple, cd.places(genome, "seq", 9, "chr_idx").collect()))
+    n = Counter(c for c, _, _ in every)
+    rows = lambda df: sorted(map(tuple, df.select("code", "count", "chr_idx", "pos").collect()))
+    whole = [(c, n[c], i, j) for c, i, j in every]
+    assert rows(ix.kmer_places(genome, None, 9)) == whole == rows(ix.kmer_places(genome, ix.kmer_index(genome, 9), 9))
+    wanted = {every[i][0] for i in range(0, len(every), 500)}
+    few = rows(ix.kmer_places(genome, None, 9, spark.createDataFrame([(c,) for c in wanted], "code long")))
+    right = {x for x in whole if x[0] in wanted}
+    assert right <= set(few) <= set(whole) and len(few) <= 2 * len(right) + 100 < len(whole)
