@@ -18,13 +18,18 @@ are dealt by key.  Each key's texts are a star around the smallest (a minimum
 that is combined before the shuffle), so its links grow with its size, not with
 its square.  Pairs whose lengths alone tell them apart go at once.  Every text is
 aligned with its first candidate; then all other star links are, whose ends don't
-have one centre by that.  Keys whose texts are then in different classes, as those
-of a passage that strangers share, are split: by classes of length, in which two
-near texts are always together once (for the `BY_LENGTH` keys of a text with the
-smallest hashes, which texts that share a passage have in common); and by sketches
-of the words outside the k-mers that strangers share, two of which candidates have
-in common.  What may stay apart are texts that are near by such a passage alone and
-unlike in nearly all other words.
+have one centre by that.
+
+Stars leave pairs out: those that are not with a centre, and those without a common
+sketch.  So all pairs of texts in different classes are then searched exactly.  An
+edit spoils three triples of words at most, so a near text has a number of them in
+common (0.4 of the longer text's words, less two; shorter texts have pairs of words
+or words, see `SIZES`).  Triples are dealt as 36 bits with 24 bits of their class;
+those of several classes make a bit filter of bounded size, and only texts with
+enough of them go on.  The same count is made twice more among the texts left, and
+then they are joined by their rarest triples, as many as a near text can't avoid
+(prefix filter).  Two texts with so many of those in common, whose words' histograms
+differ by no more than the edits allowed, are aligned.
 
 Alignment is a unit-cost dynamic program over words in a band around the
 diagonal, which is doubled until it holds the distance or is as wide as the
@@ -52,10 +57,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .anchors import LEAST_BITS, MOST_BITS, bit_filter, has
-from .common import durable, table
+from .common import durable, partitions, table
 from .textkit import gram_hashes, join, row_of, row_sums, slices, splitmix, utf8, word_hashes, words
 
 SHINGLE, ELL, SKETCHES = 5, 2, 80
@@ -63,9 +68,14 @@ SHINGLE, ELL, SKETCHES = 5, 2, 80
 PAIRED, PAIR_SKETCHES = (10, 96), 16
 #: Texts of up to so many words have a key for each sequence left by deletions.
 DELETED = 14
-#: Sketches of the words outside what strangers share: (words of a k-mer, number).
-OWN = ((1, 32), (2, 48))
-BY_LENGTH = 8
+#: Grams of the exact search: (least and most words of the longer text, words of a gram).
+SIZES = ((1, 4, 1), (5, DELETED, 2), (DELETED + 1, 1 << 40, 3))
+#: Bits of a gram's group, of the whole gram and of its class that are dealt, and grams that a task holds.
+GROUP_BITS, GRAM_BITS, CLASS_BITS, HELD = 12, 36, 24, 1 << 20
+#: Pairs of two classes, those of the most similar histograms, that are aligned before all others.
+FIRST = 3
+#: Bins of a text's histogram of words, half a byte each.
+BINS = 256
 SIMILARITY = 0.8
 NULL_ID = (1 << 63) - 1
 #: Cells of the alignment matrix worked on at once, and narrowest band.
@@ -177,30 +187,6 @@ def all_keys(data: np.ndarray, offs: np.ndarray, similarity: float = SIMILARITY,
     return *_by_row(parts, len(offs) - 1), np.diff(first)
 
 
-def own_keys(data: np.ndarray, offs: np.ndarray, common: np.ndarray, common_first: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row table) of sketches of the words that aren't in the k-mers of the row's keys `common`, nor in fewer than five words between such."""
-    starts, ends, first = words(data, offs)
-    hashes = word_hashes(data, starts, ends)
-    shared = np.zeros(len(hashes) + 1, np.int64)
-    known = join(common, row_of(common_first).astype(np.uint64))
-    for row, key, at, k in _sketches(hashes, first, sketches):
-        at = at[np.isin(join(key, row.astype(np.uint64)), known)].ravel()
-        np.add.at(shared, at[at >= 0], 1)
-        np.add.at(shared, at[at >= 0] + k, -1)
-    own = np.cumsum(shared)[:-1] == 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-    row = row_of(first)
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if b - a < SHINGLE and a and b < len(own) and row[a - 1] == row[b]:
-            own[a:b] = False
-    left = np.concatenate([[0], np.cumsum(own)])[first]
-    parts = []
-    for k, n in OWN:
-        rows, keys, _ = sketch(hashes[own], left, k, n)
-        parts.append((np.repeat(rows, n), keys.ravel()))
-    return _by_row(parts, len(offs) - 1)
-
-
 def band(a: int, b: int, similarity: float = SIMILARITY) -> int:
     """Largest distance that the similarity allows for texts of a and b words."""
     return int((1 - similarity) * max(a, b) + 1e-9)
@@ -224,6 +210,148 @@ def _some(values: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.n
     return values[np.repeat(first[:-1][pick] - before[:-1], size) + np.arange(before[-1])], before
 
 
+def least_common(n: np.ndarray, lo: int, hi: int, k: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """Grams of k words that a text of n words has in common at least with any near one, the longer of both having lo to hi words; NULL_ID if none can."""
+    out, m = np.full(len(n), NULL_ID), np.maximum(n, lo)
+    # further on it only grows: a period of the largest distance adds more grams than its one edit spoils
+    for _ in range(int(1 / max(1 - similarity, 1e-3)) + 2):
+        ok = (m <= hi) & (similarity * m <= n + 1e-6)
+        out = np.where(ok, np.minimum(out, m - (k - 1) - k * ((1 - similarity) * m + 1e-9).astype(np.int64)), out)
+        m = m + 1
+    return out
+
+
+def _exact(hashes: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words of a gram, rows, their labelled grams, row table of those, how many a near text has in common at least)."""
+    n = np.diff(first)
+    for lo, hi, k in SIZES if similarity >= SIMILARITY else ((1, 1 << 40, 1),):
+        least = least_common(n, lo, hi, k, similarity)
+        rows = np.flatnonzero((n > 0) & (least < NULL_ID))
+        if len(rows):
+            yield k, rows, *_kmers(*_some(hashes, first, rows), k), least[rows]
+
+
+def _dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(part, pieces): grams and classes, sorted, as six bytes each without their group."""
+    v = np.unique(np.concatenate(held))
+    part = (v >> np.uint64(GRAM_BITS + CLASS_BITS - GROUP_BITS)).astype(np.int32)
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    size = (GRAM_BITS + CLASS_BITS - GROUP_BITS) // 8
+    packed = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :size])
+    pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(v)) * size).astype(np.int32)), pa.py_buffer(packed)])
+    return pa.RecordBatch.from_arrays([pa.array(part[at]), pieces], ["part", "pieces"])
+
+
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return grams >> np.uint64(64 - bits)
+
+
+def far_grams(rooted: DataFrame, similarity: float, bits: int) -> np.ndarray:
+    """2**bits bits, set at the grams that texts of several classes (root, text) have."""
+    size = (GRAM_BITS + CLASS_BITS - GROUP_BITS) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(1)):
+                starts, ends, first = words(data, offs)
+                root = splitmix(batch.column(0).to_numpy()[lo:hi].view(np.uint64)) >> np.uint64(64 - CLASS_BITS)
+                for _, rows, grams, own, _ in _exact(word_hashes(data, starts, ends), first, similarity):
+                    held.append(grams >> np.uint64(64 - GRAM_BITS) << np.uint64(CLASS_BITS) | root[rows][row_of(own)])
+                if sum(map(len, held)) >= HELD:
+                    yield _dealt(held)
+                    held = []
+        if sum(map(len, held)):
+            yield _dealt(held)
+
+    def several(group: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(group.column("pieces").to_pylist()), np.uint8).reshape(-1, size)
+        v = np.zeros((len(raw), 8), np.uint8)
+        v[:, :size] = raw
+        g = np.unique(v.view(np.uint64).ravel()) >> np.uint64(CLASS_BITS)
+        again = g[1:][g[1:] == g[:-1]]
+        chunk = np.zeros(1 << bits - GROUP_BITS, np.uint8)
+        chunk[again >> np.uint64(GRAM_BITS - bits)] = 1
+        return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([np.packbits(chunk, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    bytes_ = 1 << bits - GROUP_BITS - 3
+    for r in rooted.select("root", "text").mapInArrow(run, "part int, pieces binary").groupBy("part").applyInArrow(several, "part int, bits binary").toLocalIterator():
+        out[r.part * bytes_ : (r.part + 1) * bytes_] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def histograms(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """rows x BINS / 2 bytes: the words of each bin, 15 at most, two bins a byte."""
+    n = len(first) - 1
+    bins = np.bincount(row_of(first) * BINS + (hashes >> np.uint64(56)).astype(np.int64) % BINS, minlength=n * BINS).reshape(n, BINS)
+    low = np.minimum(bins, 15).astype(np.uint8)
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edits that two texts' histograms differ by at least: one takes a word from a bin and puts one into another at most."""
+    d = [(a >> s & 15).astype(np.int16) - (b >> s & 15) for s in (0, 4)]
+    return np.maximum(sum(np.maximum(x, 0).sum(1) for x in d), sum(np.maximum(-x, 0).sum(1) for x in d))
+
+
+def far_pairs(rows: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, rank): all pairs of near texts of (t, text) in different classes by label (node, root), and few others; rank numbers those of two classes, likely ones first."""
+    roots = label.withColumnRenamed("node", "t")
+    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (letters // 4).bit_length()))
+    rooted = rows.join(roots, "t", "left").select(F.coalesce("root", "t").alias("root"), "text")
+    seen = rows.sparkSession.sparkContext.broadcast(far_grams(rooted, similarity, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(1)):
+                starts, ends, first = words(data, offs)
+                hashes = word_hashes(data, starts, ends)
+                for k, own_rows, grams, own, least in _exact(hashes, first, similarity):
+                    slot = _slot(grams, bits)
+                    ok = (seen.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    live = np.flatnonzero(row_sums(ok.astype(np.int64), own) >= least)
+                    if not len(live):
+                        continue
+                    kept, size = _some(ok, own, live)[0], np.diff(own)[live]
+                    grams = _some(grams, own, live)[0][kept]
+                    offsets = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(size)])]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))
+                    t = batch.column(0).slice(lo, hi - lo).take(pa.array(own_rows[live]))
+                    bins = pa.array([x.tobytes() for x in histograms(*_some(hashes, first, own_rows[live]))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([t, pa.array(np.full(len(live), k, np.int32)), pa.array(np.diff(first)[own_rows[live]]), pa.array(least[live]), bins, lists], ["t", "k", "n", "least", "bins", "grams"])
+
+    def like_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS // 2) for c in (3, 4))
+            edits, longer = least_edits(left, right), batch.column(2).to_numpy()
+            ok = pa.array(edits <= (1 - similarity) * longer + 1e-9)
+            columns = [*(batch.column(c) for c in (0, 1, 5, 6)), pa.array(edits / longer)]
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in columns], ["a", "b", "lo", "hi", "unlike"])
+
+    own = ["t", "k", "n", "least", "root"]
+    left = rows.select("t", "text").mapInArrow(run, "t long, k int, n long, least long, bins binary, grams array<long>").dropDuplicates(["t", "k"])
+    left = durable(left.join(roots, "t", "left").select(*own[:-1], F.coalesce("root", "t").alias("root"), "bins", "grams"))
+    bins = left.select("t", "bins").dropDuplicates(["t"])
+    for _ in range(2):
+        each = left.select(*own, F.explode("grams").alias("g"))
+        again = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("g", "c")
+        ranked = each.join(again, "g").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("ranked")).where(F.size("ranked") >= F.col("least"))
+        left = durable(ranked.select(*own, F.col("ranked.g").alias("grams")))
+    # of what two near texts have in common each one's last least - some may be cut off, so some are in both beginnings
+    some = F.ceil(F.col("least") / 4)
+    heads = durable(left.select("t", "k", "n", "root", some.alias("some"), F.explode(F.slice("grams", 1, (F.size("grams") - F.col("least") + some).cast("int"))).alias("g")))
+    other = heads.select("g", *(F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "some")))
+    like = F.least("n", "n2") + 1e-6 >= similarity * F.greatest("n", "n2")
+    # few bytes, but many pairs come of them: without dealing a handful of tasks would do all
+    both = heads.repartition(partitions(rows.sparkSession), "t", "k").join(other, "g").where((F.col("t") < F.col("t2")) & (F.col("root") != F.col("root2")) & like)
+    met = both.groupBy(F.col("t").alias("a"), F.col("t2").alias("b"), "k").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("some", "some2")).alias("some"), F.max(F.greatest("n", "n2")).alias("longer"), F.min(F.least("root", "root2")).alias("lo"), F.max(F.greatest("root", "root2")).alias("hi"))
+    met = met.where("m >= some").join(bins.withColumnsRenamed({"t": "a", "bins": "left"}), "a").join(bins.withColumnsRenamed({"t": "b", "bins": "right"}), "b")
+    like = met.select("a", "b", "longer", "left", "right", "lo", "hi").mapInArrow(like_bins, "a long, b long, lo long, hi long, unlike double").distinct()
+    return durable(like.select("a", "b", F.row_number().over(Window.partitionBy("lo", "hi").orderBy("unlike", "a", "b")).alias("rank")))
+
+
 def distances(left: np.ndarray, left_first: np.ndarray, right: np.ndarray, right_first: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """Edit distance over words of each pair of rows (word hashes and row tables), or -1 if it exceeds the pair's band."""
     la, lb = np.diff(left_first), np.diff(right_first)
@@ -362,10 +490,10 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     star = stars(rows, similarity, sketches)
     text_of = durable(rows.select("t", "text").join(star.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]))
 
-    def candidates(star: DataFrame, least: int = 1) -> DataFrame:
-        """The different star links whose ends have `least` keys and may be near by their lengths."""
+    def candidates(star: DataFrame) -> DataFrame:
+        """The different star links whose ends may be near by their lengths."""
         like = F.least("n", "an") + 1e-6 >= similarity * F.greatest("n", "an")
-        return star.where((F.col("a") < F.col("t")) & like).groupBy("a", F.col("t").alias("b")).count().where(F.col("count") >= least).select("a", "b")
+        return star.where((F.col("a") < F.col("t")) & like).select("a", F.col("t").alias("b")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +514,7 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
                 ok = pa.array(distances(*sides, similarity) >= 0)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
-    def aligned(wanted: DataFrame) -> DataFrame:
+    def aligned(wanted: DataFrame, text_of: DataFrame = text_of) -> DataFrame:
         with_texts = wanted.join(text_of.withColumnsRenamed({"t": "b", "text": "right"}), "b").join(text_of.withColumnsRenamed({"t": "a", "text": "left"}), "a")
         return durable(with_texts.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
 
@@ -396,14 +524,6 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
             wanted = wanted.join(label.withColumnsRenamed({"node": c, "root": f"{c}_root"}), c, "left")
         return durable(wanted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
 
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(2)):
-                lists = batch.column(3).slice(lo, hi - lo)
-                common = lists.offsets.to_numpy().astype(np.int64)
-                keys, first = own_keys(data, offs, lists.flatten().to_numpy().view(np.uint64), common - common[0], sketches)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))], ["t", "n", "keys"])
-
     pairs = candidates(star)
     turn = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = aligned(turn)
@@ -411,21 +531,16 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     if rest.limit(1).count():
         linked = linked.unionByName(aligned(rest))
     label = components(linked)
-    # the texts of keys with several classes, and those keys; a text has some 200 keys at most
-    rooted = star.join(label.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
-    strange = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = durable(rooted.join(strange, "key", "left_semi").groupBy("t", "n").agg(F.collect_set("key").alias("common")))
-    # a text's class of length and that of one a quarter longer are the same or next to each other
-    step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    split = members.select("t", "n", F.explode(F.slice(F.array_sort("common"), 1, BY_LENGTH)).alias("key"), step.alias("step"))
-    split = split.select("t", "n", F.explode(F.array(F.xxhash64("key", "step"), F.xxhash64("key", F.col("step") + 1))).alias("key"))
-    split = split.join(split.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("key", "a"), "key").withColumn("an", F.col("n"))
-    own = _repeated(durable(text_of.join(members, "t").select("t", "n", "text", "common").mapInArrow(outside, "t long, n int, keys array<long>")))
-    wanted = apart(candidates(split).unionByName(candidates(own, 2)).distinct(), label)
+    wanted = far_pairs(rows, label, similarity)
     if wanted.limit(1).count():
-        found = aligned(wanted)
-        if found.limit(1).count():
-            label = components(linked.unionByName(found))
+        ends = wanted.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+        whole = durable(rows.select("t", "text").join(ends, "t", "left_semi").dropDuplicates(["t"]))
+        # most classes that belong together are one by their likeliest pairs, and their other pairs are not aligned
+        for some in (wanted.where(F.col("rank") <= FIRST), wanted.where(F.col("rank") > FIRST)):
+            found = aligned(apart(some.select("a", "b"), label).repartition(partitions(rows.sparkSession), "a", "b"), whole)
+            if found.limit(1).count():
+                linked = linked.unionByName(found)
+                label = components(linked)
     return label.withColumnRenamed("node", "t")
 
 

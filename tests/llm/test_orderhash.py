@@ -196,3 +196,16 @@ def test_members_that_are_near_each_other_but_not_their_centre(spark):
     texts = [" ".join(passage + ["o%d_%d" % (k, i) for i in range(rng.choice([3, 5, 8, 38, 40, 60]))]) for k in range(60)]
     got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_pairs_without_a_common_sketch_or_centre(spark):
+    """Every fifth word replaced, so no five words in a row are left, in texts too long for sketches of pairs; and two texts that only a stranger's star holds."""
+    rng = random.Random(37)
+    texts = []
+    for f, n in enumerate((100, 150, 155, 400)):
+        base = ["e%d_%d" % (f, i) for i in range(n)]
+        texts += [" ".join(base), " ".join("x%d_%d" % (f, i) if i % 5 == 4 else w for i, w in enumerate(base))]
+    texts += ["a b c d", "a b c", "a  b c", "a b  c", "k l m n o", "z k l m n", "y k l m n"]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
