@@ -1,14 +1,10 @@
 """Small helpers shared by the operators: inputs, checkpoints and column choice."""
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-from functools import cache
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..tables import durable  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,29 +15,6 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written as a table below the folder that the cluster names in spark.checkpoint.dir, and read back.
-
-    A table, unlike a checkpoint, brings its own size along; sizes estimated through the rounds of a loop double their digits each time.
-    Where no folder is named, a local master, whose executors are this machine, takes a temporary one; any other is told to name one.
-    """
-    spark = df.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(named or _local_folder()).rstrip('/')}/tables/{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@cache
-def _local_folder() -> str:
-    """One for each process, which goes with it."""
-    folder = tempfile.mkdtemp(prefix="tables-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -74,3 +74,21 @@ def test_places_table(spark, genome, texts):
     few = rows(ix.kmer_places(genome, None, 9, spark.createDataFrame([(c,) for c in wanted], "code long")))
     right = {x for x in whole if x[0] in wanted}
     assert right <= set(few) <= set(whole) and len(few) <= 2 * len(right) + 100 < len(whole)
+
+
+def test_index_counts_and_ranks_whole_groups(spark):
+    """Against Python, with k-mers of other characters; no task deals rows of single k-mers."""
+    rng = random.Random(41)
+    seqs = ["".join(rng.choice("AACGTN#" if i % 2 else "ACGT") for _ in range(n)) for i, n in enumerate((0, 3, 9, 40, 5000, 9000))]
+    genome = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "chr_idx long, seq string")
+    for k in (3, 7, 14, 25):
+        counts = Counter(s[i : i + k] for s in seqs for i in range(len(s) - k + 1))
+        want, before = [], 0
+        for kmer in sorted(counts):
+            want.append((kmer, before, counts[kmer]))
+            before += counts[kmer]
+        got = sorted((r.kmer, r.first_rank, r["count"], r.code) for r in ix.kmer_index(genome, k).collect())
+        assert [g[:3] for g in got] == want
+        assert all((g[3] < 0) == bool(set(g[0]) - set("ACGT")) for g in got)
+    assert dict(cd.grouped(genome, "seq", 14).dtypes)["codes"] == "binary"
+    assert ix.kmer_index(genome.where("chr_idx = 0"), 14).collect() == []
