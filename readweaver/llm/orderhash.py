@@ -26,10 +26,12 @@ edit spoils three triples of words at most, so a near text has a number of them
 common (0.4 of the longer text's words, less two; shorter texts have pairs of words
 or words, see `SIZES`).  Triples are dealt as 36 bits with 24 bits of their class;
 those of several classes make a bit filter of bounded size, and only texts with
-enough of them go on.  The same count is made twice more among the texts left, and
-then they are joined by their rarest triples, as many as a near text can't avoid
-(prefix filter).  Two texts with so many of those in common, whose words' histograms
-differ by no more than the edits allowed, are aligned.
+enough of them go on.  Texts that share a passage of half their words do, so among
+those left the same is asked of pairs of words (0.6) and then of words (0.8), which
+passages alone don't give.  The texts left are joined by their rarest words, as many
+as a near text can't avoid (prefix filter: a fifth of them).  Two texts with one of
+those in common, whose words' histograms differ by no more than the edits allowed,
+are aligned.
 
 Alignment is a unit-cost dynamic program over words in a band around the
 diagonal, which is doubled until it holds the distance or is as wide as the
@@ -70,8 +72,15 @@ PAIRED, PAIR_SKETCHES = (10, 96), 16
 DELETED = 14
 #: Grams of the exact search: (least and most words of the longer text, words of a gram).
 SIZES = ((1, 4, 1), (5, DELETED, 2), (DELETED + 1, 1 << 40, 3))
-#: Bits of a gram's group, of the whole gram and of its class that are dealt, and grams that a task holds.
-GROUP_BITS, GRAM_BITS, CLASS_BITS, HELD = 12, 36, 24, 1 << 20
+#: Words of a gram in the later rounds, among the texts left.
+ROUNDS = (2, 1)
+#: Bits of a gram's group (of few letters, of more than FEW), of the whole gram and of its class that are dealt, and grams that a task holds.
+GROUP_BITS, GRAM_BITS, CLASS_BITS, HELD = (4, 12), 36, 24, 1 << 20
+FEW = 1 << 24
+#: Texts that are copied at once.
+TAKEN = 512
+#: Words of a text's beginning that come along with each of the later ones.
+BEFORE = 128
 #: Pairs of two classes, those of the most similar histograms, that are aligned before all others.
 FIRST = 3
 #: Bins of a text's histogram of words, half a byte each.
@@ -221,64 +230,109 @@ def least_common(n: np.ndarray, lo: int, hi: int, k: int, similarity: float = SI
     return out
 
 
-def _exact(hashes: np.ndarray, first: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sizes(similarity: float) -> tuple[tuple[int, int, int], ...]:
+    return SIZES if similarity >= SIMILARITY else ((1, 1 << 40, 1),)
+
+
+def _exact(hashes: np.ndarray, first: np.ndarray, similarity: float, sizes: tuple[tuple[int, int, int], ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(words of a gram, rows, their labelled grams, row table of those, how many a near text has in common at least)."""
     n = np.diff(first)
-    for lo, hi, k in SIZES if similarity >= SIMILARITY else ((1, 1 << 40, 1),):
+    for lo, hi, k in sizes:
         least = least_common(n, lo, hi, k, similarity)
         rows = np.flatnonzero((n > 0) & (least < NULL_ID))
         if len(rows):
             yield k, rows, *_kmers(*_some(hashes, first, rows), k), least[rows]
 
 
-def _dealt(held: list[np.ndarray]) -> pa.RecordBatch:
-    """(part, pieces): grams and classes, sorted, as six bytes each without their group."""
+def _dealt(held: list[np.ndarray], group_bits: int) -> pa.RecordBatch:
+    """(part, pieces): grams and classes, sorted, as whole bytes each without their group."""
     v = np.unique(np.concatenate(held))
-    part = (v >> np.uint64(GRAM_BITS + CLASS_BITS - GROUP_BITS)).astype(np.int32)
+    part = (v >> np.uint64(GRAM_BITS + CLASS_BITS - group_bits)).astype(np.int32)
     at = np.flatnonzero(np.diff(part, prepend=-1))
-    size = (GRAM_BITS + CLASS_BITS - GROUP_BITS) // 8
+    size = (GRAM_BITS + CLASS_BITS - group_bits) // 8
     packed = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :size])
     pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(v)) * size).astype(np.int32)), pa.py_buffer(packed)])
     return pa.RecordBatch.from_arrays([pa.array(part[at]), pieces], ["part", "pieces"])
 
 
-def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
-    return grams >> np.uint64(64 - bits)
+def _known(batches: Iterator[pa.RecordBatch], known, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose first column passes the filter, or those that don't, a few texts at a time."""
+    for batch in batches:
+        ok = pa.array(has(known.value, batch.column(0).to_numpy().view(np.uint64)) == wanted)
+        for at in range(0, len(batch), TAKEN):
+            yield batch.slice(at, TAKEN).filter(ok.slice(at, TAKEN))
 
 
-def far_grams(rooted: DataFrame, similarity: float, bits: int) -> np.ndarray:
-    """2**bits bits, set at the grams that texts of several classes (root, text) have."""
-    size = (GRAM_BITS + CLASS_BITS - GROUP_BITS) // 8
+class FarGrams:
+    """The grams that texts of several classes have, as a bit filter that is broadcast; few others pass.  With ranks there is a byte for a bit, that grows with their classes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
-                starts, ends, first = words(data, offs)
-                root = splitmix(batch.column(0).to_numpy()[lo:hi].view(np.uint64)) >> np.uint64(64 - CLASS_BITS)
-                for _, rows, grams, own, _ in _exact(word_hashes(data, starts, ends), first, similarity):
-                    held.append(grams >> np.uint64(64 - GRAM_BITS) << np.uint64(CLASS_BITS) | root[rows][row_of(own)])
-                if sum(map(len, held)) >= HELD:
-                    yield _dealt(held)
-                    held = []
-        if sum(map(len, held)):
-            yield _dealt(held)
-
-    def several(group: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(group.column("pieces").to_pylist()), np.uint8).reshape(-1, size)
-        v = np.zeros((len(raw), 8), np.uint8)
-        v[:, :size] = raw
-        g = np.unique(v.view(np.uint64).ravel()) >> np.uint64(CLASS_BITS)
-        again = g[1:][g[1:] == g[:-1]]
-        chunk = np.zeros(1 << bits - GROUP_BITS, np.uint8)
-        chunk[again >> np.uint64(GRAM_BITS - bits)] = 1
-        return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([np.packbits(chunk, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(1 << bits - 3, np.uint8)
-    bytes_ = 1 << bits - GROUP_BITS - 3
-    for r in rooted.select("root", "text").mapInArrow(run, "part int, pieces binary").groupBy("part").applyInArrow(several, "part int, bits binary").toLocalIterator():
-        out[r.part * bytes_ : (r.part + 1) * bytes_] = np.frombuffer(r.bits, np.uint8)
-    return out
+    rooted has (root, text); alone, if given, (t, text) that are a class of their own each, but for those in the filter `known` of t.
+    """
+
+    def __init__(self, rooted: DataFrame, letters: int, similarity: float, sizes: tuple[tuple[int, int, int], ...], alone: DataFrame | None = None, known=None, ranks: bool = False) -> None:
+        self.similarity, self.sizes, self.ranks = similarity, sizes, ranks
+        # all texts: a bit or two a gram; the texts left: a dozen bits or a byte or two
+        self.bits = bits = min(MOST_BITS - 3 * ranks, max(LEAST_BITS, (letters // 4 if ranks or alone is not None else 2 * letters).bit_length()))
+        group_bits = GROUP_BITS[int(letters > FEW)]
+        size = (GRAM_BITS + CLASS_BITS - group_bits) // 8
+
+        def run(batches: Iterator[pa.RecordBatch], known=None) -> Iterator[pa.RecordBatch]:
+            held = []
+            for batch in batches if known is None else _known(batches, known, False):
+                for lo, hi, data, offs in slices(batch.column(1)):
+                    starts, ends, first = words(data, offs)
+                    root = splitmix(batch.column(0).to_numpy()[lo:hi].view(np.uint64)) >> np.uint64(64 - CLASS_BITS)
+                    for _, rows, grams, own, _ in _exact(word_hashes(data, starts, ends), first, similarity, sizes):
+                        held.append(grams >> np.uint64(64 - GRAM_BITS) << np.uint64(CLASS_BITS) | root[rows][row_of(own)])
+                    if sum(map(len, held)) >= HELD:
+                        yield _dealt(held, group_bits)
+                        held = []
+            if sum(map(len, held)):
+                yield _dealt(held, group_bits)
+
+        def several(group: pa.Table) -> pa.Table:
+            raw = np.frombuffer(b"".join(group.column("pieces").to_pylist()), np.uint8).reshape(-1, size)
+            v = np.zeros((len(raw), 8), np.uint8)
+            v[:, :size] = raw
+            g = np.unique(v.view(np.uint64).ravel()) >> np.uint64(CLASS_BITS)
+            # the group's own bits are not among these
+            again, classes = np.unique(g, return_counts=True)
+            again, classes = again[classes > 1], classes[classes > 1]
+            chunk = np.zeros(1 << bits - group_bits, np.uint8)
+            np.maximum.at(chunk, again >> np.uint64(GRAM_BITS - bits), np.minimum(8 * np.log2(classes), 255).astype(np.uint8) if ranks else np.uint8(1))
+            return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([(chunk if ranks else np.packbits(chunk, bitorder="little")).tobytes()], pa.binary())})
+
+        dealt = rooted.select("root", "text").mapInArrow(run, "part int, pieces binary")
+        if alone is not None:
+            dealt = dealt.unionByName(alone.select("t", "text").mapInArrow(lambda batches: run(batches, known), "part int, pieces binary"))
+        out = np.zeros(1 << bits - 3 * (not ranks), np.uint8)
+        bytes_ = len(out) >> group_bits
+        for r in dealt.groupBy("part").applyInArrow(several, "part int, bits binary").toLocalIterator():
+            out[r.part * bytes_ : (r.part + 1) * bytes_] = np.frombuffer(r.bits, np.uint8)
+        self.seen = rooted.sparkSession.sparkContext.broadcast(out)
+
+    def passed(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their labelled grams, row table of those, rank of each or 0 if it does not pass, how many a near text has in common at least) for each of the sizes."""
+        for _, rows, grams, own, least in _exact(hashes, first, self.similarity, self.sizes):
+            slot = grams >> np.uint64(64 - self.bits)
+            rank = self.seen.value[slot] if self.ranks else self.seen.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+            yield rows, grams, own, rank, least
+
+    def enough(self, texts: DataFrame) -> DataFrame:
+        """The rows of texts (its column text) that have as many such grams as a near text of another class asks for."""
+        place = texts.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offs in slices(batch.column(place)):
+                    starts, ends, first = words(data, offs)
+                    ok = np.zeros(hi - lo, bool)
+                    for rows, _, own, rank, least in self.passed(word_hashes(data, starts, ends), first):
+                        ok[rows[row_sums((rank > 0).astype(np.int64), own) >= least]] = True
+                    if ok.any():
+                        yield batch.slice(lo, hi - lo).filter(pa.array(ok))
+
+        return texts.mapInArrow(run, texts.schema)
 
 
 def histograms(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -295,32 +349,49 @@ def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(sum(np.maximum(x, 0).sum(1) for x in d), sum(np.maximum(-x, 0).sum(1) for x in d))
 
 
-def far_pairs(rows: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, rank): all pairs of near texts of (t, text) in different classes by label (node, root), and few others; rank numbers those of two classes, likely ones first."""
+def far_texts(rows: DataFrame, label: DataFrame, similarity: float) -> tuple[DataFrame, FarGrams | None]:
+    """(t, root, text) of the texts of (t, text) that may have a near one in another class by label (node, root), and the last round's grams; None if no text is left."""
+    spark = rows.sparkSession
     roots = label.withColumnRenamed("node", "t")
-    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (letters // 4).bit_length()))
-    rooted = rows.join(roots, "t", "left").select(F.coalesce("root", "t").alias("root"), "text")
-    seen = rows.sparkSession.sparkContext.broadcast(far_grams(rooted, similarity, bits))
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * label.count()).bit_length()))
+    known = spark.sparkContext.broadcast(bit_filter(label.select(F.col("node").alias("g"), F.lit(1).alias("n")), 1, size))
+
+    def rooted(some: DataFrame) -> DataFrame:
+        return some.join(roots, "t", "left").select("t", F.coalesce("root", "t").alias("root"), "text")
+
+    letters = lambda df: df.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = rows.select("t", "text")
+    # only texts that have a label are dealt to get it
+    far = FarGrams(rooted(texts.mapInArrow(lambda batches: _known(batches, known, True), texts.schema)), letters(rows), similarity, _sizes(similarity), texts, known)
+    left = durable(rooted(far.enough(texts).dropDuplicates(["t"])))
+    for k in ROUNDS:
+        if not left.limit(1).count():
+            return left, None
+        far = FarGrams(left, letters(left), similarity, ((1, 1 << 40, k),), ranks=k == ROUNDS[-1])
+        left = durable(far.enough(left))
+    return left, far
+
+
+def far_pairs(left: DataFrame, far: FarGrams, similarity: float) -> DataFrame:
+    """(a, b, rank): all pairs of near texts in different classes among `far_texts`, and few others; rank numbers those of two classes, likely ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
+            for lo, hi, data, offs in slices(batch.column(2)):
                 starts, ends, first = words(data, offs)
                 hashes = word_hashes(data, starts, ends)
-                for k, own_rows, grams, own, least in _exact(hashes, first, similarity):
-                    slot = _slot(grams, bits)
-                    ok = (seen.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                    live = np.flatnonzero(row_sums(ok.astype(np.int64), own) >= least)
-                    if not len(live):
-                        continue
-                    kept, size = _some(ok, own, live)[0], np.diff(own)[live]
-                    grams = _some(grams, own, live)[0][kept]
-                    offsets = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(size)])]
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))
-                    t = batch.column(0).slice(lo, hi - lo).take(pa.array(own_rows[live]))
-                    bins = pa.array([x.tobytes() for x in histograms(*_some(hashes, first, own_rows[live]))], pa.binary())
-                    yield pa.RecordBatch.from_arrays([t, pa.array(np.full(len(live), k, np.int32)), pa.array(np.diff(first)[own_rows[live]]), pa.array(least[live]), bins, lists], ["t", "k", "n", "least", "bins", "grams"])
+                for own_rows, grams, own, rank, least in far.passed(hashes, first):
+                    ok, size = rank > 0, row_sums((rank > 0).astype(np.int64), own)
+                    row = row_of(own)[ok]
+                    order = np.lexsort((grams[ok], rank[ok], row))
+                    # of what two near texts have in common each one's last least - 1 may be cut off, so one is in both beginnings
+                    head = np.maximum(size - least + 1, 0)
+                    row, grams = row[order], grams[ok][order]
+                    at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(head)]).astype(np.int32)), pa.array(grams[at < head[row]].view(np.int64)))
+                    t, root = (batch.column(c).slice(lo, hi - lo).take(pa.array(own_rows)) for c in (0, 1))
+                    bins = pa.array([x.tobytes() for x in histograms(*_some(hashes, first, own_rows))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([t, root, pa.array(np.diff(first)[own_rows]), pa.array(size), bins, lists], ["t", "root", "n", "size", "bins", "head"])
 
     def like_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,25 +401,21 @@ def far_pairs(rows: DataFrame, label: DataFrame, similarity: float) -> DataFrame
             columns = [*(batch.column(c) for c in (0, 1, 5, 6)), pa.array(edits / longer)]
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in columns], ["a", "b", "lo", "hi", "unlike"])
 
-    own = ["t", "k", "n", "least", "root"]
-    left = rows.select("t", "text").mapInArrow(run, "t long, k int, n long, least long, bins binary, grams array<long>").dropDuplicates(["t", "k"])
-    left = durable(left.join(roots, "t", "left").select(*own[:-1], F.coalesce("root", "t").alias("root"), "bins", "grams"))
-    bins = left.select("t", "bins").dropDuplicates(["t"])
-    for _ in range(2):
-        each = left.select(*own, F.explode("grams").alias("g"))
-        again = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("g", "c")
-        ranked = each.join(again, "g").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("ranked")).where(F.size("ranked") >= F.col("least"))
-        left = durable(ranked.select(*own, F.col("ranked.g").alias("grams")))
-    # of what two near texts have in common each one's last least - some may be cut off, so some are in both beginnings
-    some = F.ceil(F.col("least") / 4)
-    heads = durable(left.select("t", "k", "n", "root", some.alias("some"), F.explode(F.slice("grams", 1, (F.size("grams") - F.col("least") + some).cast("int"))).alias("g")))
-    other = heads.select("g", *(F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "some")))
-    like = F.least("n", "n2") + 1e-6 >= similarity * F.greatest("n", "n2")
+    listed = durable(left.mapInArrow(run, "t long, root long, n long, size long, bins binary, head array<long>"))
+    placed = listed.select("t", "root", "n", "size", "head", F.posexplode("head").alias("i", "g"))
+    # most pairs have several: those before each come along, and a pair that has one of them is left to that one
+    heads = durable(placed.select("t", "root", "n", "g", (F.col("size") - F.col("i")).alias("rest"), F.slice("head", F.lit(1), F.least(F.col("i"), F.lit(BEFORE))).alias("before")))
+    other = heads.select("g", *(F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "rest", "before")))
+    longer = F.greatest("n", "n2")
+    # the first that two texts have in common is followed by all others in both
+    like = (F.least("n", "n2") + 1e-6 >= similarity * longer) & (F.least("rest", "rest2") >= longer - F.floor((1 - similarity) * longer + 1e-9))
+    first = ~F.arrays_overlap("before", "before2")
     # few bytes, but many pairs come of them: without dealing a handful of tasks would do all
-    both = heads.repartition(partitions(rows.sparkSession), "t", "k").join(other, "g").where((F.col("t") < F.col("t2")) & (F.col("root") != F.col("root2")) & like)
-    met = both.groupBy(F.col("t").alias("a"), F.col("t2").alias("b"), "k").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("some", "some2")).alias("some"), F.max(F.greatest("n", "n2")).alias("longer"), F.min(F.least("root", "root2")).alias("lo"), F.max(F.greatest("root", "root2")).alias("hi"))
-    met = met.where("m >= some").join(bins.withColumnsRenamed({"t": "a", "bins": "left"}), "a").join(bins.withColumnsRenamed({"t": "b", "bins": "right"}), "b")
-    like = met.select("a", "b", "longer", "left", "right", "lo", "hi").mapInArrow(like_bins, "a long, b long, lo long, hi long, unlike double").distinct()
+    both = heads.repartition(partitions(left.sparkSession), "t").join(other, "g").where((F.col("t") < F.col("t2")) & (F.col("root") != F.col("root2")) & like & first)
+    met = both.select(F.col("t").alias("a"), F.col("t2").alias("b"), longer.alias("longer"), F.least("root", "root2").alias("lo"), F.greatest("root", "root2").alias("hi")).distinct()
+    bins = listed.select("t", "bins")
+    met = met.join(bins.withColumnsRenamed({"t": "a", "bins": "left"}), "a").join(bins.withColumnsRenamed({"t": "b", "bins": "right"}), "b")
+    like = met.select("a", "b", "longer", "left", "right", "lo", "hi").mapInArrow(like_bins, "a long, b long, lo long, hi long, unlike double")
     return durable(like.select("a", "b", F.row_number().over(Window.partitionBy("lo", "hi").orderBy("unlike", "a", "b")).alias("rank")))
 
 
@@ -367,6 +434,17 @@ def distances(left: np.ndarray, left_first: np.ndarray, right: np.ndarray, right
         least[live] = np.maximum(least[live], -(-missing // n))
         live = live[least[live] <= width[live]]
     now = np.minimum(width[live], np.maximum(2 * least[live], NARROW))
+    # a common beginning and end cost nothing
+    at_left, at_right, la, lb = left_first[:-1].copy(), right_first[:-1].copy(), la.copy(), lb.copy()
+    for i in live.tolist():
+        for way in (1, -1):
+            a, b = left[at_left[i] : at_left[i] + la[i]][::way], right[at_right[i] : at_right[i] + lb[i]][::way]
+            m = min(len(a), len(b))
+            unlike = a[:m] != b[:m]
+            same = int(unlike.argmax()) if unlike.any() else m
+            la[i], lb[i] = la[i] - same, lb[i] - same
+            if way > 0:
+                at_left[i], at_right[i] = at_left[i] + same, at_right[i] + same
     while len(live):
         order = np.lexsort((la[live], now))
         live, now = live[order], now[order]
@@ -377,7 +455,7 @@ def distances(left: np.ndarray, left_first: np.ndarray, right: np.ndarray, right
             while end < len(live) and (end + 1 - at) * (2 * now[end] + 1) <= CELLS and (end + 1 - at) * (la[live[end]] + 2 * now[end]) <= 16 * CELLS and now[end] <= 1.3 * now[at] + 2:
                 end += 1
             part = live[at:end]
-            texts = [[v[f[i] : f[i + 1]] for i in part.tolist()] for v, f in ((left, left_first), (right, right_first))]
+            texts = [[v[f[i] : f[i] + n[i]] for i in part.tolist()] for v, f, n in ((left, at_left, la), (right, at_right, lb))]
             got[at:end] = _aligned(*texts, now[at:end])
             at = end
         out[live] = got
@@ -417,6 +495,8 @@ def _aligned(left: list[np.ndarray], right: list[np.ndarray], width: np.ndarray)
         t -= c
         np.minimum.accumulate(t, axis=1, out=t)
         d = t + c
+        if i % 16 == 0 and (d.min(axis=1) > width).all():
+            break  # it only grows
         for j in np.flatnonzero(la == i):
             k = lb[j] - i + w
             if 0 <= k <= 2 * w:
@@ -531,10 +611,9 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     if rest.limit(1).count():
         linked = linked.unionByName(aligned(rest))
     label = components(linked)
-    wanted = far_pairs(rows, label, similarity)
-    if wanted.limit(1).count():
-        ends = wanted.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-        whole = durable(rows.select("t", "text").join(ends, "t", "left_semi").dropDuplicates(["t"]))
+    left, far = far_texts(rows, label, similarity)
+    if far is not None:
+        wanted, whole = far_pairs(left, far, similarity), left.select("t", "text")
         # most classes that belong together are one by their likeliest pairs, and their other pairs are not aligned
         for some in (wanted.where(F.col("rank") <= FIRST), wanted.where(F.col("rank") > FIRST)):
             found = aligned(apart(some.select("a", "b"), label).repartition(partitions(rows.sparkSession), "a", "b"), whole)

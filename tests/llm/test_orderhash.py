@@ -209,3 +209,33 @@ def test_pairs_without_a_common_sketch_or_centre(spark):
     rng.shuffle(texts)
     got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def joined(spark):
+    """Largest number of rows that a join of two texts' words has made, by execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions, out = store.executionsList(), {}
+    for k in range(executions.size()):
+        e = executions.apply(k).executionId()
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            metrics = node.metrics()
+            for m in range(metrics.size()):
+                if "Join" in node.name() and "root" in node.desc() and metrics.apply(m).name() == "number of output rows":
+                    value = values.get(metrics.apply(m).accumulatorId())
+                    out[e] = max(out.get(e, 0), int(value.get().replace(",", "")) if value.isDefined() else 0)
+    return out
+
+
+def test_passage_of_half_the_words_makes_few_pairs(spark):
+    """Each of 120 texts has a passage of half its words: none is near another, and they are not joined two by two."""
+    rng = random.Random(41)
+    passage = ["p%d" % i for i in range(60)]
+    texts = [" ".join(passage + ["o%d" % rng.randrange(4000) for _ in range(55)]) for _ in range(120)]
+    near = passage + ["z%d" % i for i in range(60)]
+    texts += [" ".join(near), " ".join("y%d" % i if i % 5 == 4 else w for i, w in enumerate(near))]
+    before = set(joined(spark))
+    got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert max((n for e, n in joined(spark).items() if e not in before), default=0) < 5 * len(texts)
