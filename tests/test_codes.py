@@ -51,6 +51,13 @@ def test_prefixes(spark, genome, texts, held, monkeypatch):
     assert left <= 200 < gn.kmers(plain, "seq", 14).select("kmer").distinct().count()
 
 
+def test_one_beginning_for_each_query(spark):
+    """A task gives one string for each query and the shorter ends, however long the genome is."""
+    plain = spark.createDataFrame([(0, bases(60_000))], "chr_idx long, seq string").coalesce(1)
+    asked = spark.createDataFrame([(bases(14),) for _ in range(50)], "kmer string").distinct()
+    assert cd.near_prefixes(plain, "seq", 14, asked).count() <= 50 + 13
+
+
 def test_places(spark, genome, texts):
     """Places of the wanted codes, and hardly any others, before anything is joined."""
     got = sorted(map(tuple, cd.places(genome, "seq", 9, "chr_idx").collect()))
