@@ -90,6 +90,8 @@ def count_minimisers(docs: DataFrame, length: int, m: int) -> DataFrame:
 
 def bit_filter(counted: DataFrame, least: int, bits: int) -> np.ndarray:
     """2**bits bits, set at the hashes counted `least` times or more; made on the executors in chunks of 8 KB."""
+    from .common import fetched
+
     part = 1 << LEAST_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,7 @@ def bit_filter(counted: DataFrame, least: int, bits: int) -> np.ndarray:
     chunks = counted.where(F.col("n") >= least).select(F.shiftright(place, LEAST_BITS).alias("chunk"), place.bitwiseAND(part - 1).cast("int").alias("at"))
     out = np.zeros(1 << bits - 3, np.uint8)
     # at most 65,536 distinct places a chunk, and 2**bits / 65,536 chunks, whatever the corpus
-    for r in chunks.groupBy("chunk").agg(F.collect_set("at").alias("at")).select("chunk", "at").mapInArrow(run, "chunk long, bits binary").toLocalIterator():
+    for r in fetched(chunks.groupBy("chunk").agg(F.collect_set("at").alias("at")).select("chunk", "at").mapInArrow(run, "chunk long, bits binary")):
         out[r.chunk << LEAST_BITS - 3 : (r.chunk + 1) << LEAST_BITS - 3] = np.frombuffer(r.bits, np.uint8)
     return out
 

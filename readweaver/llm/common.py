@@ -1,9 +1,11 @@
 """Small helpers shared by the operators: inputs, checkpoints and column choice."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
 
-from ..tables import durable  # noqa: F401
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+
+from ..tables import discard, durable  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Parts in which a result of bounded size comes to the driver.
+PARTS = 8
+
+
+def fetched(df: DataFrame) -> Iterator[Row]:
+    """The rows of a result of bounded size, an eighth of it at once; one job fetches a part, so in its own parts it would take a job for each shuffle partition."""
+    return df.repartition(PARTS).toLocalIterator()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most `per_class` labelled documents of each class.
 

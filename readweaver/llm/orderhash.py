@@ -62,7 +62,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .anchors import LEAST_BITS, MOST_BITS, bit_filter, has
-from .common import durable, partitions, table
+from .common import discard, durable, fetched, partitions, table
 from .textkit import gram_hashes, join, row_of, row_sums, slices, splitmix, utf8, word_hashes, words
 
 SHINGLE, ELL, SKETCHES = 5, 2, 80
@@ -74,6 +74,8 @@ DELETED = 14
 SIZES = ((1, 4, 1), (5, DELETED, 2), (DELETED + 1, 1 << 40, 3))
 #: Words of a gram in the later rounds, among the texts left.
 ROUNDS = (2, 1)
+#: The first round is repeated while it leaves at most this share of the texts.
+HELPED = 0.9
 #: Bits of a gram's group (of few letters, of more than FEW), of the whole gram and of its class that are dealt, and grams that a task holds.
 GROUP_BITS, GRAM_BITS, CLASS_BITS, HELD = (4, 12), 36, 24, 1 << 20
 FEW = 1 << 24
@@ -95,16 +97,29 @@ COMPARED = 1 << 22
 
 def labelled(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Hash of each value with its occurrence number in its row, in order."""
-    order = np.lexsort((np.arange(len(values)), values, row))
-    v, r = values[order], row[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    at = np.arange(len(v))
-    number = np.empty(len(v), np.uint64)
-    number[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    number = np.zeros(len(values), np.uint64)
+    # few occur again in their row, and only those are ordered by row and place
+    key = join(values, row.astype(np.uint64))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    again = np.zeros(len(values), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    some = np.flatnonzero(again)
+    if len(some):
+        order = np.lexsort((values[some], row[some]))
+        v, r, at = values[some][order], row[some][order], np.arange(len(some))
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
+        number[some[order]] = at - np.maximum.accumulate(np.where(new, at, 0))
     return splitmix(values + number * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; `np.unique` of numbers is many times slower."""
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+
+
 def _kmers(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(labelled k-mers of all rows, row table of them)."""
     gram, ok = gram_hashes(hashes, first, k)
@@ -246,7 +261,7 @@ def _exact(hashes: np.ndarray, first: np.ndarray, similarity: float, sizes: tupl
 
 def _dealt(held: list[np.ndarray], group_bits: int) -> pa.RecordBatch:
     """(part, pieces): grams and classes, sorted, as whole bytes each without their group."""
-    v = np.unique(np.concatenate(held))
+    v = _distinct(np.concatenate(held))
     part = (v >> np.uint64(GRAM_BITS + CLASS_BITS - group_bits)).astype(np.int32)
     at = np.flatnonzero(np.diff(part, prepend=-1))
     size = (GRAM_BITS + CLASS_BITS - group_bits) // 8
@@ -272,8 +287,8 @@ class FarGrams:
     def __init__(self, rooted: DataFrame, letters: int, similarity: float, sizes: tuple[tuple[int, int, int], ...], alone: DataFrame | None = None, known=None, ranks: bool = False) -> None:
         self.similarity, self.sizes, self.ranks = similarity, sizes, ranks
         # all texts: a bit or two a gram; the texts left: a dozen bits or a byte or two
+        self.group_bits = group_bits = GROUP_BITS[int(letters > FEW)]
         self.bits = bits = min(MOST_BITS - 3 * ranks, max(LEAST_BITS, (letters // 4 if ranks or alone is not None else 2 * letters).bit_length()))
-        group_bits = GROUP_BITS[int(letters > FEW)]
         size = (GRAM_BITS + CLASS_BITS - group_bits) // 8
 
         def run(batches: Iterator[pa.RecordBatch], known=None) -> Iterator[pa.RecordBatch]:
@@ -294,12 +309,16 @@ class FarGrams:
             raw = np.frombuffer(b"".join(group.column("pieces").to_pylist()), np.uint8).reshape(-1, size)
             v = np.zeros((len(raw), 8), np.uint8)
             v[:, :size] = raw
-            g = np.unique(v.view(np.uint64).ravel()) >> np.uint64(CLASS_BITS)
+            g = _distinct(v.view(np.uint64).ravel()) >> np.uint64(CLASS_BITS)
             # the group's own bits are not among these
-            again, classes = np.unique(g, return_counts=True)
-            again, classes = again[classes > 1], classes[classes > 1]
+            at = np.append(np.flatnonzero(np.diff(g, prepend=g[:1] + np.uint64(1))), len(g))
+            classes = np.diff(at)
+            again, classes = g[at[:-1]][classes > 1], classes[classes > 1]
             chunk = np.zeros(1 << bits - group_bits, np.uint8)
-            np.maximum.at(chunk, again >> np.uint64(GRAM_BITS - bits), np.minimum(8 * np.log2(classes), 255).astype(np.uint8) if ranks else np.uint8(1))
+            if ranks:
+                np.maximum.at(chunk, again >> np.uint64(GRAM_BITS - bits), np.minimum(8 * np.log2(classes), 255).astype(np.uint8))
+            else:
+                chunk[again >> np.uint64(GRAM_BITS - bits)] = chunk[again & np.uint64(len(chunk) - 1)] = 1
             return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([(chunk if ranks else np.packbits(chunk, bitorder="little")).tobytes()], pa.binary())})
 
         dealt = rooted.select("root", "text").mapInArrow(run, "part int, pieces binary")
@@ -307,16 +326,44 @@ class FarGrams:
             dealt = dealt.unionByName(alone.select("t", "text").mapInArrow(lambda batches: run(batches, known), "part int, pieces binary"))
         out = np.zeros(1 << bits - 3 * (not ranks), np.uint8)
         bytes_ = len(out) >> group_bits
-        for r in dealt.groupBy("part").applyInArrow(several, "part int, bits binary").toLocalIterator():
+        for r in fetched(dealt.groupBy("part").applyInArrow(several, "part int, bits binary")):
             out[r.part * bytes_ : (r.part + 1) * bytes_] = np.frombuffer(r.bits, np.uint8)
         self.seen = rooted.sparkSession.sparkContext.broadcast(out)
 
     def passed(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, their labelled grams, row table of those, rank of each or 0 if it does not pass, how many a near text has in common at least) for each of the sizes."""
         for _, rows, grams, own, least in _exact(hashes, first, self.similarity, self.sizes):
-            slot = grams >> np.uint64(64 - self.bits)
-            rank = self.seen.value[slot] if self.ranks else self.seen.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
-            yield rows, grams, own, rank, least
+            yield rows, grams, own, self._rank(grams), least
+
+    def _rank(self, grams: np.ndarray) -> np.ndarray:
+        """Rank of each labelled gram, or 0 if it does not pass; without ranks a gram has two bits in its group's chunk, of its first and of its last letters."""
+        slot = grams >> np.uint64(64 - self.bits)
+        if self.ranks:
+            return self.seen.value[slot]
+        inside = np.uint64((1 << self.bits - self.group_bits) - 1)
+        bit = lambda at: self.seen.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+        return bit(slot) & bit(slot & ~inside | grams >> np.uint64(64 - GRAM_BITS) & inside)
+
+    def lengths(self, first: np.ndarray) -> list[int]:
+        """Words of a gram for each of the sizes that `passed` gives."""
+        n = np.diff(first)
+        return [k for lo, hi, k in self.sizes if ((n > 0) & (least_common(n, lo, hi, k, self.similarity) < NULL_ID)).any()]
+
+    def _explained(self, hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+        """Whether as many edits as a near text allows can have spoiled all grams of a row that no other class has.
+
+        An edit spoils grams that overlap only, so scattered ones need more edits than a kth of their number.  A gram whose first
+        occurrence passes counts as shared wherever it stands, as a near text may have fewer of them.
+        """
+        n, (gram, own) = np.diff(first), _grams(hashes, first, k)
+        unlike = self._rank(splitmix(gram)) == 0
+        at, row = np.flatnonzero(unlike), row_of(own)[unlike]
+        d = 1 - self.similarity
+        # a longer near text has words put in, each of which spoils a gram less
+        longer = n * (1 / self.similarity - 1)
+        if k * d < 1:
+            longer = np.minimum(longer, (k * d * n - row_sums(unlike.astype(np.int64), own)) / (1 - k * d))
+        return least_points(at, row, len(n), k) <= d * (n + longer) + 1e-6
 
     def enough(self, texts: DataFrame) -> DataFrame:
         """The rows of texts (its column text) that have as many such grams as a near text of another class asks for."""
@@ -326,15 +373,29 @@ class FarGrams:
             for batch in batches:
                 for lo, hi, data, offs in slices(batch.column(place)):
                     starts, ends, first = words(data, offs)
-                    ok = np.zeros(hi - lo, bool)
-                    for rows, _, own, rank, least in self.passed(word_hashes(data, starts, ends), first):
-                        ok[rows[row_sums((rank > 0).astype(np.int64), own) >= least]] = True
+                    ok, hashes = np.zeros(hi - lo, bool), word_hashes(data, starts, ends)
+                    for (rows, _, own, rank, least), k in zip(self.passed(hashes, first), self.lengths(first)):
+                        rows = rows[row_sums((rank > 0).astype(np.int64), own) >= least]
+                        ok[rows[self._explained(*_some(hashes, first, rows), k)]] = True
                     if ok.any():
                         yield batch.slice(lo, hi - lo).filter(pa.array(ok))
 
         return texts.mapInArrow(run, texts.schema)
 
 
+def least_points(at: np.ndarray, row: np.ndarray, rows: int, k: int) -> np.ndarray:
+    """Fewest points of each row such that each of its intervals, k places from `at` (sorted) on, holds one."""
+    none = len(at)
+    after = np.searchsorted(at, at + k)
+    after = np.append(np.where(row[np.minimum(after, none - 1)] == row, after, none), none) if none else np.zeros(1, np.int64)
+    points = np.append(np.ones(none, np.int64), 0)
+    # each doubling goes twice as far along the chain of leftmost intervals not yet held
+    while (after < none).any():
+        points, after = points + points[after], after[after]
+    heads = np.searchsorted(row, np.arange(rows + 1))
+    return np.where(np.diff(heads) > 0, points[np.minimum(heads[:-1], none)], 0)
+
+
 def histograms(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """rows x BINS / 2 bytes: the words of each bin, 15 at most, two bins a byte."""
     n = len(first) - 1
@@ -363,12 +424,22 @@ def far_texts(rows: DataFrame, label: DataFrame, similarity: float) -> tuple[Dat
     texts = rows.select("t", "text")
     # only texts that have a label are dealt to get it
     far = FarGrams(rooted(texts.mapInArrow(lambda batches: _known(batches, known, True), texts.schema)), letters(rows), similarity, _sizes(similarity), texts, known)
-    left = durable(rooted(far.enough(texts).dropDuplicates(["t"])))
-    for k in ROUNDS:
-        if not left.limit(1).count():
+    left, before = durable(rooted(far.enough(texts).dropDuplicates(["t"]))), None
+    # in a large corpus many grams are in some other text by chance, in fewer of those left: the first round goes on as long as it helps
+    rounds = [None, *ROUNDS]
+    while rounds:
+        many = left.count()
+        if not many:
             return left, None
-        far = FarGrams(left, letters(left), similarity, ((1, 1 << 40, k),), ranks=k == ROUNDS[-1])
+        if before is not None and many > HELPED * before:
+            rounds.pop(0)
+        last, before = left, None if rounds[0] else many
+        sizes = ((1, 1 << 40, rounds[0]),) if rounds[0] else _sizes(similarity)
+        far = FarGrams(left, letters(left), similarity, sizes, ranks=rounds[0] == ROUNDS[-1])
         left = durable(far.enough(left))
+        discard(last)
+        if rounds[0]:
+            rounds.pop(0)
     return left, far
 
 
@@ -416,7 +487,9 @@ def far_pairs(left: DataFrame, far: FarGrams, similarity: float) -> DataFrame:
     bins = listed.select("t", "bins")
     met = met.join(bins.withColumnsRenamed({"t": "a", "bins": "left"}), "a").join(bins.withColumnsRenamed({"t": "b", "bins": "right"}), "b")
     like = met.select("a", "b", "longer", "left", "right", "lo", "hi").mapInArrow(like_bins, "a long, b long, lo long, hi long, unlike double")
-    return durable(like.select("a", "b", F.row_number().over(Window.partitionBy("lo", "hi").orderBy("unlike", "a", "b")).alias("rank")))
+    out = durable(like.select("a", "b", F.row_number().over(Window.partitionBy("lo", "hi").orderBy("unlike", "a", "b")).alias("rank")))
+    discard(listed, heads)
+    return out
 
 
 def distances(left: np.ndarray, left_first: np.ndarray, right: np.ndarray, right_first: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -543,7 +616,10 @@ def stars(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n[own].astype(np.int32)), lists], ["t", "n", "keys"])
 
-    return _repeated(durable(rows.select("t", "text").mapInArrow(run, "t long, n int, keys array<long>")))
+    sketched = durable(rows.select("t", "text").mapInArrow(run, "t long, n int, keys array<long>"))
+    out = _repeated(sketched)
+    discard(sketched)
+    return out
 
 
 def _repeated(sketched: DataFrame) -> DataFrame:
@@ -562,7 +638,9 @@ def _repeated(sketched: DataFrame) -> DataFrame:
 
     mine = sketched.select("t", "n", "keys").mapInArrow(shared, "key long, t long, n int")
     mine = mine.join(again.select(F.col("g").alias("key"), "a"), "key").distinct()
-    return durable(mine.join(mine.where("a = t").select("key", F.col("n").alias("an")), "key"))
+    out = durable(mine.join(mine.where("a = t").select("key", F.col("n").alias("an")), "key"))
+    discard(again)
+    return out
 
 
 def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
@@ -611,6 +689,7 @@ def _labelled(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     if rest.limit(1).count():
         linked = linked.unionByName(aligned(rest))
     label = components(linked)
+    discard(star, text_of, rest)
     left, far = far_texts(rows, label, similarity)
     if far is not None:
         wanted, whole = far_pairs(left, far, similarity), left.select("t", "text")
@@ -634,18 +713,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 def _classes(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     """(t, first) of every different text: the smallest (did, t) of its class."""
     label = _labelled(rows, similarity, sketches)
-    owner = rows.groupBy("t").agg(F.min("did").alias("did"))
-    own = durable(owner.join(label, "t", "left").select("t", "did", F.coalesce("root", "t").alias("root")))
+    owner = rows.groupBy("t").agg(F.min("did").alias("did"), (F.count(F.lit(1)) > 1).alias("again"))
+    own = durable(owner.join(label, "t", "left").select("t", "did", F.coalesce("root", "t").alias("root"), (F.col("again") | F.col("root").isNotNull()).alias("several")))
     first = own.groupBy("root").agg(F.min("did").alias("did")).join(own.select("root", "did", "t"), ["root", "did"]).groupBy("root").agg(F.min("t").alias("t"), F.min("did").alias("did"))
-    return own.select("t", "root").join(first.select("root", F.struct("did", "t").alias("first")), "root").select("t", "first")
+    return own.select("t", "root", "several").join(first.select("root", F.struct("did", "t").alias("first")), "root").select("t", "first", "several")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """One whole row of docs for each class: that of the smallest doc_id (then text key); of repeated rows any one."""
-    chosen = _classes(_texts(docs, doc_id, text), similarity, sketches).where("t = first.t").select("first.*")
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(body).alias("t"))
-    return whole.join(chosen, ["did", "t"], "left_semi").dropDuplicates(["did", "t"]).select("row.*")
+    classes = durable(_classes(_texts(docs, doc_id, text), similarity, sketches))
+    several = classes.where("several").select(F.col("t").alias("g"), F.lit(1).alias("n"))
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(several, 1, min(MOST_BITS, max(LEAST_BITS, (16 * several.count()).bit_length()))))
+    whole = docs.select(F.xxhash64(body).alias("t"), F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("did"), F.struct(*docs.columns).alias("row"))
+    chosen = classes.where("t = first.t").select("first.t", "first.did")
+    some = lambda df, wanted: df.mapInArrow(lambda batches: _known(batches, known, wanted), df.schema)
+    # a row without copies or near ones stays, only others are dealt
+    return some(whole, False).unionByName(some(whole, True).join(some(chosen, True), ["did", "t"], "left_semi").dropDuplicates(["did", "t"])).select("row.*")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import itertools
+import os
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from readweaver.llm import orderhash
+from readweaver.llm import anchors, common, orderhash
 from tests.llm.fixtures import awkward_texts, docs, empty
 from tests.llm.test_substring import split
 
@@ -239,3 +241,61 @@ def test_passage_of_half_the_words_makes_few_pairs(spark):
     got = {r.doc_id: r.class_id for r in orderhash.classes(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
     assert max((n for e, n in joined(spark).items() if e not in before), default=0) < 5 * len(texts)
+
+
+def test_scattered_triples_of_other_texts_are_no_near_text(spark):
+    """Five words of every seven stand in another text, so 0.43 of all triples, but two edits of seven words are needed to part with the others."""
+    common = [["c%d_%d" % (k, i) for i in range(5)] for k in range(600)]
+    texts, rng = [], random.Random(43)
+    for k in range(40):
+        parts = rng.sample(common[:30], 30)
+        texts.append(" ".join(" ".join([*p, "o%d_%d" % (k, i), "q%d_%d" % (k, i)]) for i, p in enumerate(parts)))
+    rows = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "t long, root long, text string")
+    far = orderhash.FarGrams(rows, sum(map(len, texts)), 0.8, orderhash.SIZES)
+    assert far.enough(rows).count() == 0
+    near = texts[0].split()
+    near[4::5] = ["x%d" % i for i in range(len(near[4::5]))]
+    both = spark.createDataFrame([(0, 0, texts[0]), (1, 1, " ".join(near)), (2, 2, " ".join(near[: len(near) * 4 // 5]))], "t long, root long, text string")
+    far = orderhash.FarGrams(both, 3 * len(texts[0]), 0.8, orderhash.SIZES)
+    assert {r.t for r in far.enough(both).collect()} == {0, 1, 2}
+
+
+def test_fewest_points_against_brute_force():
+    rng = random.Random(44)
+    rows = [sorted(rng.sample(range(12), rng.randrange(7))) for _ in range(200)]
+    at, row = (np.array([x for k, r in enumerate(rows) for x in ((12 * k + p) if c == 0 else k for p in r)], np.int64) for c in (0, 1))
+    for k in (1, 2, 3):
+        least = []
+        for r in rows:
+            points = next(n for n in range(13) if any(all(any(p <= q < p + k for q in pick) for p in r) for pick in itertools.combinations(range(14), n)))
+            least.append(points)
+        assert orderhash.least_points(at, row, len(rows), k).tolist() == least
+
+
+def test_tables_go_when_they_are_read_and_rows_alone_are_not_dealt(spark, monkeypatch):
+    """Of the tables between the steps only those of links, classes and labels are left; of the whole rows only those with copies or near ones are shuffled."""
+    made, keep = [], orderhash.durable
+    monkeypatch.setattr(orderhash, "durable", lambda df: made.append(keep(df)) or made[-1])
+    base = ["w%d" % i for i in range(60)]
+    texts = [" ".join("%s_%d" % (w, k) for w in base) for k in range(50)] + [" ".join([*base, "e%d" % k]) for k in range(3)] + [" ".join(base)] * 2
+    got = orderhash.representatives(docs(spark, texts))
+    assert sorted(r.doc_id for r in got.collect()) == [*range(50), 50]
+    gone = [x.columns for x in made if "_durable" not in x.__dict__]
+    assert ["t", "n", "keys"] in gone and ["t", "text"] in gone and any("an" in columns for columns in gone)
+    assert all(os.path.exists(x._durable) for x in made if "_durable" in x.__dict__)
+
+
+def test_a_filter_comes_to_the_driver_in_few_jobs(spark):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        spark.sparkContext.setJobGroup("filter", "")
+        bits = anchors.bit_filter(spark.range(5000).select(F.xxhash64("id").alias("g"), F.lit(2).alias("n")), 2, 20)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("filter")
+    assert int(np.unpackbits(bits).sum()) > 4900 and len(jobs) <= 2 * common.PARTS
