@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..tables import discard, durable  # noqa: F401
+from ..tables import PARTS, discard, durable, fetched  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Parts in which a result of bounded size comes to the driver.
-PARTS = 8
+#: Texts in an Arrow batch where whole texts go to Python by the million.
+BATCH = 1024
 
 
-def fetched(df: DataFrame) -> Iterator[Row]:
-    """The rows of a result of bounded size, an eighth of it at once; one job fetches a part, so in its own parts it would take a job for each shuffle partition."""
-    return df.repartition(PARTS).toLocalIterator()
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """Queries that run inside hand at most so many rows at once to Python: an executor holds batches of both sides for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:

@@ -62,7 +62,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .anchors import LEAST_BITS, MOST_BITS, bit_filter, has
-from .common import discard, durable, fetched, partitions, table
+from .common import discard, durable, fetched, partitions, small_batches, table
 from .textkit import gram_hashes, join, row_of, row_sums, slices, splitmix, utf8, word_hashes, words
 
 SHINGLE, ELL, SKETCHES = 5, 2, 80
@@ -712,7 +712,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
 def _classes(rows: DataFrame, similarity: float, sketches: int) -> DataFrame:
     """(t, first) of every different text: the smallest (did, t) of its class."""
-    label = _labelled(rows, similarity, sketches)
+    with small_batches(rows.sparkSession):
+        label = _labelled(rows, similarity, sketches)
     owner = rows.groupBy("t").agg(F.min("did").alias("did"), (F.count(F.lit(1)) > 1).alias("again"))
     own = durable(owner.join(label, "t", "left").select("t", "did", F.coalesce("root", "t").alias("root"), (F.col("again") | F.col("root").isNotNull()).alias("several")))
     first = own.groupBy("root").agg(F.min("did").alias("did")).join(own.select("root", "did", "t"), ["root", "did"]).groupBy("root").agg(F.min("t").alias("t"), F.min("did").alias("did"))

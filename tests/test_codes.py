@@ -2,7 +2,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readweaver.operators import codes as cd, genome as gn, index as ix
 
@@ -99,3 +101,17 @@ def test_index_counts_and_ranks_whole_groups(spark):
         assert all((g[3] < 0) == bool(set(g[0]) - set("ACGT")) for g in got)
     assert dict(cd.grouped(genome, "seq", 14).dtypes)["codes"] == "binary"
     assert ix.kmer_index(genome.where("chr_idx = 0"), 14).collect() == []
+
+
+def test_filter_comes_to_the_driver_as_bits(spark, monkeypatch):
+    """The bits are packed by the executors; a row for each of their bytes was collected at once."""
+    wanted = spark.range(200_000).select((F.col("id") * 7919).alias("code"))
+    rows, keep = [], cd.fetched
+    monkeypatch.setattr(type(wanted), "toArrow", lambda self: (_ for _ in ()).throw(AssertionError("collected whole")))
+    monkeypatch.setattr(cd, "fetched", lambda df: (rows.append(r) or r for r in keep(df)))
+    out, bits = cd.code_filter(wanted)
+    slot = cd._slots(np.arange(200_000) * 7919, bits)
+    expected = np.zeros(1 << bits, np.uint8)
+    expected[slot] = 1
+    assert (np.unpackbits(out, bitorder="little") == expected).all()
+    assert len(rows) == 1 << bits - cd.LEAST_BITS
