@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from readweaver.llm import orderhash, packing, secrets, substring, toxicity
-from readweaver.llm.common import durable, table
+from readweaver.llm.common import discard, durable, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,7 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs)
+            discard(before)
     return docs
